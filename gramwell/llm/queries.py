@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gramwell.llm import url_filters
+from gramwell.llm import license_scans, url_filters
 
 QUERIES = {
+    "op8_license_scan": license_scans.op8_license_scan,
     "op10_url_filter": url_filters.op10_url_filter,
 }
 
 SQL = {
+    "op8_license_scan": license_scans.OP8_SQL,
     "op10_url_filter": url_filters.OP10_SQL,
 }
