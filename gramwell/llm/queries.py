@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gramwell.llm import decontamination, license_scans, media_columns, secret_scans, toxicity, url_filters
+from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, secret_scans, toxicity, url_filters
 
 QUERIES = {
     "op2_secret_scan": secret_scans.op2_secret_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op6_media": media_columns.op6_media,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op8_license_scan": license_scans.op8_license_scan,
     "op10_url_filter": url_filters.op10_url_filter,
 }
