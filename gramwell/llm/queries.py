@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, secret_scans, toxicity, url_filters
+from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, packing, secret_scans, toxicity, url_filters
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_secret_scan": secret_scans.op2_secret_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op6_media": media_columns.op6_media,
