@@ -6,7 +6,7 @@ at most `capacity` counts at the driver, whatever the number of documents:
 1. exact complements: for each length, longest first, a gap is looked up among the available single
    lengths, sums of two and sums of three, and combinations that fill it exactly are consumed, as often
    as their counts allow;
-2. best fit for what is left: the longest piece, then again and again the longest that still fits.
+2. best fit for what is left: longest first, into the smallest gap that takes it.
 A plan entry gives a run of sequences one slot: (length, first rank, count, first sequence, offset). A
 piece finds its slot by its length and its rank among the pieces of its length. Ranks come from counts
 by task and length, summed over tasks; ids never move between executors.
@@ -53,48 +53,70 @@ def fill(counts: np.ndarray, gap: int, most: int, parts: int) -> tuple[int, ...]
     return None
 
 
+def exact(counts: np.ndarray, capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """Consumes combinations that fill a sequence exactly, as often as counts allow: (lengths, how many)."""
+    made = []
+    for length in range(capacity, 0, -1):
+        while counts[length]:
+            counts[length] -= 1
+            rest = () if length == capacity else fill(counts, capacity - length, length, parts)
+            counts[length] += 1
+            if rest is None:
+                break
+            lengths = (length, *rest)
+            n = min(int(counts[x]) // lengths.count(x) for x in lengths)
+            for x in lengths:
+                counts[x] -= n
+            made.append((lengths, n))
+    return made
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, into the smallest gap that takes it; sequences of one content are handled together."""
+    gaps: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
+    for length in range(capacity, 0, -1):
+        n, gap = int(counts[length]), length
+        while n:
+            while gap < capacity and not gaps[gap]:
+                gap += 1
+            lengths, k = gaps[gap].pop() if gaps[gap] else ((), n)
+            free = gap if lengths else capacity
+            # one sequence takes pieces until none fits: its gap stays the smallest
+            each = min(free // length, n)
+            used = min(k, n // each)
+            gaps[free - each * length].append((lengths + (length,) * each, used))
+            if k > used and lengths:
+                gaps[gap].append((lengths, k - used))
+            n -= used * each
+    return [x for g in gaps for x in g]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, first rank, count, first sequence, offset) that place every piece once."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        if not 1 <= length <= capacity:
-            raise ValueError(f"a piece of {length} ids")
-        counts[length] += n
+    """Slots (length, first rank, count, first sequence, offset) that place every piece once.
+
+    Combinations of up to four, three and two pieces are tried, and best fit alone: on few pieces, exact
+    triples can use up the short pieces that later gaps need. The plan with the fewest sequences holds,
+    of equal ones that with the most exact combinations.
+    """
+    tried = []
+    for parts in (3, 2, 1, 0):
+        counts = np.zeros(capacity + 1, np.int64)
+        for length, n in histogram.items():
+            if not 1 <= length <= capacity:
+                raise ValueError(f"a piece of {length} ids")
+            counts[length] += n
+        made = exact(counts, capacity, parts) if parts else []
+        tried.append(made + best_fit(counts, capacity))
     used = np.zeros(capacity + 1, np.int64)
     slots: list[tuple[int, int, int, int, int]] = []
-    made = 0
-
-    def place(lengths: list[int]) -> None:
-        """As many sequences of these lengths as the counts allow."""
-        nonlocal made
-        times = {x: lengths.count(x) for x in lengths}
-        n = min(int(counts[x]) // k for x, k in times.items())
+    first = 0
+    for lengths, n in min(tried, key=lambda x: sum(n for _, n in x)):
         at = 0
         for x in lengths:
-            slots.append((x, int(used[x]), n, made, at))
+            slots.append((x, int(used[x]), n, first, at))
             used[x] += n
-            counts[x] -= n
             at += x
-        made += n
-
-    while counts[capacity]:
-        place([capacity])
-    for length in range(capacity - 1, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            rest = fill(counts, capacity - length, length, 3)
-            counts[length] += 1
-            if rest is None:
-                break
-            place([length, *rest])
-    while counts.any():
-        free = counts.copy()
-        lengths, gap = [], capacity
-        while gap and (have := np.flatnonzero(free[: gap + 1])).size:
-            lengths.append(int(have[-1]))
-            free[have[-1]] -= 1
-            gap -= lengths[-1]
-        place(lengths)
+        first += n
     return slots
 
 
