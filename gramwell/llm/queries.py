@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, packing, secret_scans, suffix_dedup, toxicity, url_filters
+from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, packing, secret_scans, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_secret_scan": secret_scans.op2_secret_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_media": media_columns.op6_media,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
