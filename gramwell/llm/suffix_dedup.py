@@ -32,8 +32,8 @@ from gramwell.llm.textbytes import BASE_A, BASE_B, BYTE_CODE, between, column, f
 SPAN, GRAM = 100, 24
 POS_BITS = 22
 #: Bytes of texts that make one batch; below 2 ** POS_BITS unless one text is longer.
-BATCH_BYTES = 3 << 20
-BLOCK_BYTES = 24 << 20
+BATCH_BYTES = 1 << 20
+BLOCK_BYTES = 10 << 20
 
 ENTRY = np.dtype([("a", "u8"), ("b", "u8"), ("id", "i8"), ("text", "i8"), ("lo", "i4"), ("n", "i4")])
 
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
                 e["text"] = b.column(b.schema.get_field_index("_hash")).to_numpy()[text]
                 parts.append(e)
                 held += len(e)
-                if held > 1_500_000:
+                if held > 600_000:
                     yield blobs_of(np.concatenate(parts), blocks)
                     parts, held = [], 0
             if held:
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
                 e["id"], e["text"], e["lo"], e["n"] = own, text, start, 1
                 parts.append(e)
                 held += len(e)
-                if held > 1_500_000:
+                if held > 600_000:
                     yield blobs_of(np.concatenate(parts), blocks)
                     parts, held = [], 0
             if held:
