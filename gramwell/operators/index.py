@@ -78,7 +78,8 @@ def merge(*collections: DataFrame) -> DataFrame:
     for c in collections:
         moved = c.withColumn("seq_id", F.col("seq_id") + F.lit(base))
         out = moved if out is None else out.unionByName(moved)
-        base = (out.agg(F.max("seq_id").alias("m")).first()["m"] or -1) + 1
+        last = out.agg(F.max("seq_id").alias("m")).first()["m"]
+        base = 0 if last is None else last + 1
     return out
 
 
