@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramwell.llm.store import partitions_for, written
-from gramwell.llm.textbytes import BASE_A, BASE_B, BYTE_CODE, between, column, flat, mix, prefix, sliced
+from gramwell.llm.textbytes import BASE_A, BASE_B, BYTE_CODE, between, column, flat, mix, powers, prefix, sliced
 
 SPAN, GRAM = 100, 24
 POS_BITS = 22
@@ -60,7 +60,8 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int, gram: int) -> tuple[n
     codes = BYTE_CODE[data]
     one, two = prefix(codes, BASE_A), prefix(codes, BASE_B)
     at = np.arange(len(data) - gram + 1)
-    prints = between(one, at, at + gram, BASE_A)
+    # unmixed: only their order matters, and anchors alone are mixed below
+    prints = (one[gram:] - one[:-gram]) * powers(BASE_A, len(one))[1][: len(at)]
     # leftmost of the least by the upper bits; a text longer than 2 ** bits takes more bits
     bits = max(POS_BITS, int(len(data)).bit_length())
     keys = (prints >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
@@ -82,11 +83,27 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int, gram: int) -> tuple[n
     context = between(two, first, first + count - 1 + span, BASE_B)
     shape = ((anchor - first) << 32 | count).astype(np.uint64)
     context = mix(context ^ mix(shape + np.uint64(1)))
-    return prints[anchor], context, first, count, np.searchsorted(offs, first, side="right") - 1
+    return mix(prints[anchor]), context, first, count, np.searchsorted(offs, first, side="right") - 1
+
+
+def anchors_at(sums: np.ndarray, first: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """A key that the strings of one anchor share: the upper bits of the least fingerprint, by which it was chosen."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    at = first[:, None] + np.arange(span - gram + 1)
+    return mix((((sums[at + gram] - sums[at]) * powers(BASE_A, len(sums))[1][at]) >> np.uint64(POS_BITS)).min(axis=1))
 
 
 def in_order(e: np.ndarray) -> np.ndarray:
-    return e[np.lexsort((e["lo"], e["text"], e["id"], e["b"], e["a"]))]
+    """Sorted by all of a, b, place; the rest of the order is only needed where fingerprints are equal."""
+    order = np.argsort(e["a"], kind="stable")
+    a = e["a"][order]
+    same = np.zeros(len(e) + 1, bool)
+    same[1:-1] = a[1:] == a[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    own = e[order[tied]]
+    order[tied] = order[tied][np.lexsort((own["lo"], own["text"], own["id"], own["b"], own["a"]))]
+    return e[order]
 
 
 def merge_scan(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,39 +165,145 @@ def entries_of(blob: bytes) -> np.ndarray:
     return out
 
 
-def _rows(e: np.ndarray, repeats: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(e["id"]), pa.array(e["text"]), pa.array(e["lo"]), pa.array(e["n"]), pa.array(np.full(len(e), repeats))], ["id", "text", "lo", "n", "repeats"])
+def _rows(e: np.ndarray, state: int | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[x])) for x in ("id", "text", "lo", "n")] + [pa.array(np.broadcast_to(np.int32(state), len(e)))], ["id", "text", "lo", "n", "state"])
 
 
-RUNS = "id long, text long, lo int, n int, repeats boolean"
+#: What is known of a run of strings (the first's place, how many): they repeat earlier ones; or their
+#: anchor has several contexts; or so many that its strings are dealt out one by one.
+REPEATS, OPEN, MANY = 0, 1, 2
+RUNS = "id long, text long, lo int, n int, state int"
+BATCH_ENTRIES, MANY_CONTEXTS = 150_000, 20_000
 
 
-def indexed(blobs: DataFrame, blocks: int, undecided: bool) -> DataFrame:
-    """Runs of strings (first, how many) that repeat earlier ones; and, if asked for, undecided ones."""
+class _Block:
+    """One block's family, fed with blobs; small ones are joined to batches."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, family = None, Family()
+    def __init__(self):
+        self.family, self.waiting, self.size = Family(), [], 0
 
-        def settled() -> Iterator[pa.RecordBatch]:
-            now, repeats = family.settle()
-            yield _rows(repeats, True)
-            if undecided and len(now):
-                same = np.zeros(len(now) + 1, bool)
-                same[1:-1] = now["a"][1:] == now["a"][:-1]
-                yield _rows(now[same[1:] | same[:-1]], False)
+    def add(self, e: np.ndarray, most: int = BATCH_ENTRIES) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(e)
+        self.size += len(e)
+        if self.size >= most and self.waiting:
+            found = self.family.insert(np.concatenate(self.waiting))
+            self.waiting, self.size = [], 0
+            if len(found):
+                yield _rows(found, REPEATS)
+
+    def settled(self) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+        out = list(self.add(np.zeros(0, ENTRY), 0))
+        now, repeats = self.family.settle()
+        return now, [*out, _rows(repeats, REPEATS)]
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Rows (block, ...) in runs of one block."""
+    from itertools import groupby
+
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, key=lambda r: r[0])
+
+
+def index_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that repeat earlier contexts, and those whose anchor has several."""
+    for _, rows in by_block(batches):
+        block = _Block()
+        for _, blob in rows:
+            yield from block.add(entries_of(blob))
+        now, out = block.settled()
+        yield from out
+        if len(now):
+            first = np.flatnonzero(np.concatenate([[True], now["a"][1:] != now["a"][:-1]]))
+            size = np.repeat(np.diff(np.concatenate([first, [len(now)]])), np.diff(np.concatenate([first, [len(now)]])))
+            keep = size > 1
+            if keep.any():
+                yield _rows(now[keep], np.where(size[keep] > MANY_CONTEXTS, MANY, OPEN))
 
-        for b in batches:
-            for own, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if own != block and block is not None:
-                    yield from settled()
-                    family = Family()
-                block = own
-                if len(found := family.insert(entries_of(blob))):
-                    yield _rows(found, True)
-        if block is not None:
-            yield from settled()
 
-    return blobs.repartition(blocks, "block").sortWithinPartitions("block").select("block", "entries").mapInArrow(index, RUNS)
+CONTEXT = np.dtype([("a", "u8"), ("id", "i8"), ("text", "i8"), ("lo", "i4"), ("n", "i4")])
+
+
+def context_blobs(e: np.ndarray, contexts: list[bytes], blocks: int) -> Iterator[tuple[int, int, bytes]]:
+    """(block, OPEN, blob) of runs with their contexts."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    block = (mix(e["a"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    e, block = e[order], block[order]
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(e)] if len(e) else [0]
+    for s, t in zip(cuts, cuts[1:], strict=False):
+        yield int(block[s]), OPEN, z.compress((t - s).to_bytes(8, "little") + e[s:t].tobytes() + b"".join(contexts[k] for k in order[s:t]))
+
+
+def compared(e: np.ndarray, contexts: list[bytes], span: int) -> Iterator[pa.RecordBatch]:
+    """The strings of runs, all with the anchors of one block, that repeat earlier ones.
+
+    Anchors are taken in groups, so that a few hundred thousand strings are held at once; equal strings
+    have equal anchors, so none is missed.
+    """
+    order = np.argsort(e["a"], kind="stable")
+    total = np.cumsum(e["n"][order])
+    edges = np.flatnonzero(np.concatenate([[True], e["a"][order][1:] != e["a"][order][:-1], [True]]))
+    at = 0
+    while at < len(order):
+        limit = np.searchsorted(total, (total[at - 1] if at else 0) + 400_000)
+        end = int(edges[min(np.searchsorted(edges, max(limit, at + 1)), len(edges) - 1)])
+        own = order[at:end]
+        at = end
+        own = own[np.lexsort((e["lo"][own], e["text"][own], e["id"][own]))]
+        n = e["n"][own].astype(np.int64)
+        codes = BYTE_CODE[np.frombuffer(b"".join(contexts[k] for k in own), np.uint8)]
+        begin = np.cumsum(n + span - 1) - (n + span - 1)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(begin, n) + inside
+        one, two = between(prefix(codes, BASE_A), start, start + span, BASE_A), between(prefix(codes, BASE_B), start, start + span, BASE_B)
+        place = np.lexsort((two, one))  # stable: equal strings stay in the order of their places
+        later = np.zeros(len(place), bool)
+        later[place[1:]] = (one[place[1:]] == one[place[:-1]]) & (two[place[1:]] == two[place[:-1]])
+        # runs of repeats within a run
+        new = later & (np.concatenate([[True], ~later[:-1]]) | (inside == 0))
+        if later.any():
+            group = np.cumsum(new)[later]
+            head = np.flatnonzero(new)
+            run = np.repeat(np.arange(len(own)), n)[head]
+            out = np.zeros(len(head), ENTRY)
+            out["id"], out["text"], out["lo"] = e["id"][own][run], e["text"][own][run], e["lo"][own][run] + inside[head]
+            out["n"] = np.bincount(group - 1, minlength=len(head))
+            yield _rows(out, REPEATS)
+
+
+def compare_strings(span: int):
+    """For blobs of contexts (OPEN) and of single strings (MANY): the strings that repeat earlier ones."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for _, rows in by_block(batches):
+            block, parts, contexts = _Block(), [], []
+            for _, state, blob in rows:
+                if state == MANY:
+                    yield from block.add(entries_of(blob))
+                    continue
+                raw = z.decompress(blob)
+                n = int.from_bytes(raw[:8], "little")
+                e = np.frombuffer(raw, CONTEXT, n, 8)
+                at = 8 + n * CONTEXT.itemsize
+                for size in (e["n"] + span - 1).tolist():
+                    contexts.append(raw[at : at + size])
+                    at += size
+                parts.append(e)
+            if parts:
+                yield from compared(np.concatenate(parts), contexts, span)
+            yield from block.settled()[1]
+
+    return compare
+
+
+def dealt(blobs: DataFrame, blocks: int, task, *columns: str) -> DataFrame:
+    return blobs.repartition(blocks, "block").sortWithinPartitions("block").select("block", *columns).mapInArrow(task, RUNS)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -222,38 +345,55 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
             texts = [z.compress(t) for t in b.column(b.schema.get_field_index("_text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in ("_own", "_id", "_hash")] + [pa.array(texts, pa.binary())], ["_own", "_id", "_hash", "_z"])
 
-    runs = written(indexed(base.select("_id", "_hash", "_text").mapInArrow(entries, "block int, entries binary"), blocks, True), "runs")
+    runs = written(dealt(base.select("_id", "_hash", "_text").mapInArrow(entries, "block int, entries binary"), blocks, index_contexts, "entries"), "runs")
     small = base.mapInArrow(squeeze, f"_own {docs.schema[id_column].dataType.simpleString()}, _id long, _hash long, _z binary")
 
-    def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "text").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
+
+        def out(parts: list, contexts: list[bytes], single: list) -> pa.RecordBatch:
+            rows = list(context_blobs(np.concatenate(parts), contexts, blocks)) if parts else []
+            if single:
+                b = blobs_of(np.concatenate(single), blocks)
+                rows += [(k, MANY, x) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["block", "state", "entries"])
+
         for b in batches:
-            parts, held = [], 0
-            for own, text, blob, lo, n in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("_id", "_hash", "_z", "lo", "n")), strict=True):
-                codes = BYTE_CODE[np.frombuffer(z.decompress(blob), np.uint8)]
-                lo, n = np.array(lo, np.int64), np.array(n, np.int64)
-                start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                e = np.zeros(len(start), ENTRY)
-                e["a"], e["b"] = between(prefix(codes, BASE_A), start, start + span, BASE_A), between(prefix(codes, BASE_B), start, start + span, BASE_B)
-                e["id"], e["text"], e["lo"], e["n"] = own, text, start, 1
+            parts, contexts, single, held = [], [], [], 0
+            for own, text, blob, runs in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("_id", "_hash", "_z", "runs")), strict=True):
+                raw = z.decompress(blob)
+                sums = prefix(BYTE_CODE[np.frombuffer(raw, np.uint8)], BASE_A)
+                lo, n, state = (np.array([r[x] for r in runs], np.int64) for x in ("lo", "n", "state"))
+                few = np.flatnonzero(state == OPEN)
+                e = np.zeros(len(few), CONTEXT)
+                e["id"], e["text"], e["lo"], e["n"] = own, text, lo[few], n[few]
+                # an anchor is the leftmost least fingerprint of the run's first string
+                e["a"] = anchors_at(sums, lo[few], span, gram)
+                contexts += [raw[s : s + k + span - 1] for s, k in zip(lo[few].tolist(), n[few].tolist(), strict=True)]
                 parts.append(e)
-                held += len(e)
-                if held > 600_000:
-                    yield blobs_of(np.concatenate(parts), blocks)
-                    parts, held = [], 0
+                held += int(n[few].sum())
+                if (many := np.flatnonzero(state == MANY)).size:
+                    lo, n = lo[many], n[many]
+                    start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    e = np.zeros(len(start), ENTRY)
+                    e["a"] = between(sums, start, start + span, BASE_A)
+                    e["b"] = between(prefix(BYTE_CODE[np.frombuffer(raw, np.uint8)], BASE_B), start, start + span, BASE_B)
+                    e["id"], e["text"], e["lo"], e["n"] = own, text, start, 1
+                    single.append(e)
+                    held += 4 * len(e)
+                if held > 2_000_000:
+                    yield out(parts, contexts, single)
+                    parts, contexts, single, held = [], [], [], 0
             if held:
-                yield blobs_of(np.concatenate(parts), blocks)
+                yield out(parts, contexts, single)
 
-    open_ = lists(runs.where("not repeats"))
     same = (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("text"))
-    fine = small.join(open_, same).select("_id", "_hash", "_z", "lo", "n")
-    more = written(indexed(fine.mapInArrow(strings, "block int, entries binary"), blocks, False), "more")
-    gone = lists(runs.where("repeats").unionByName(more))
+    undecided = runs.where(F.col("state") != REPEATS).groupBy("id", "text").agg(F.collect_list(F.struct("lo", "n", "state")).alias("runs"))
+    fine = small.join(undecided, same).select("_id", "_hash", "_z", "runs").mapInArrow(strings, "block int, state int, entries binary")
+    more = written(dealt(fine, blocks, compare_strings(span), "state", "entries"), "more")
+    gone = runs.where(F.col("state") == REPEATS).unionByName(more).groupBy("id", "text").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
     both = small.join(gone, same, "left").select("_own", "_z", "lo", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
