@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 #: A space before white space or the end: texts with one are not cut at spaces.
 _LOOSE = re.compile(r" (?:\s|\Z)")
-LONGEST_CACHED, REMEMBERED = 48, 400_000
+#: Letters, then marks that are neither letters, digits nor white space, nor start a contraction.
+_ENDED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+LONGEST_CACHED, REMEMBERED = 48, 600_000
 
 
 def default_vocabulary() -> str:
@@ -50,12 +54,17 @@ class Encoder(dict):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def pack(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.ids(text), "<u2").tobytes()
+        out = array("H", self.ids(text))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.pack(" " + piece)
+        if m := _ENDED.fullmatch(piece):
+            # letters and the marks after them are encoded apart anyway
+            out = self[m[1]] + self.pack(m[2])
+        else:
+            out = self.pack(" " + piece)
         if len(piece) <= LONGEST_CACHED:
             if len(self) >= REMEMBERED:
                 self.clear()
