@@ -127,4 +127,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     listed = write_token_files(docs, work_path(spark, "tokens"))
     counted = scan_token_files(listed.select("file", "size"))
-    return listed.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens", "closed")
+    # file sizes say little about these rows: never broadcast
+    return listed.hint("merge").join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens", "closed")
