@@ -164,7 +164,8 @@ class Packed:
         given. Only this moves in the join on (length, task) that ranks the pieces.
         """
         kept = self.pieces.select("_id", "piece", "start", "length", "task", "rank", (F.col("ids") if ids is None else ids).alias("ids"))
-        both = kept.join(self.offsets, ["length", "task"]).select("_id", "piece", "start", "length", "ids", (F.col("rank") + F.col("before")).alias("rank"))
+        # the offsets grow with the number of tasks: never broadcast
+        both = kept.hint("merge").join(self.offsets, ["length", "task"]).select("_id", "piece", "start", "length", "ids", (F.col("rank") + F.col("before")).alias("rank"))
         # a few thousand slots at most, of 5 numbers each
         held = both.sparkSession.sparkContext.broadcast([np.array(x, np.int64) for x in zip(*self.slots, strict=True)])
 
