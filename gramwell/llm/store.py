@@ -41,6 +41,17 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
-    """How many partitions make pieces of about bytes_each of the files under df."""
-    n = input_bytes(df) // max(1, bytes_each) + 1
+    """How many partitions make pieces of about bytes_each of the files under df.
+
+    Where Spark has no estimate (rows that come from no file), the session's number of shuffle partitions.
+    """
+    size = input_bytes(df)
+    n = size // max(1, bytes_each) + 1 if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(max(least, min(n, 200_000)))
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bounds the rows of an Arrow batch in this session, so that few whole texts are held at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramwell.llm.store import partitions_for, written
+from gramwell.llm.store import partitions_for, small_batches, written
 from gramwell.llm.textbytes import BASE_A, BASE_B, BYTE_CODE, between, column, flat, mix, powers, prefix, sliced
 
 SPAN, GRAM = 100, 24
 POS_BITS = 22
 #: Bytes of texts that make one batch; below 2 ** POS_BITS unless one text is longer.
 BATCH_BYTES = 1 << 20
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 
 ENTRY = np.dtype([("a", "u8"), ("b", "u8"), ("id", "i8"), ("text", "i8"), ("lo", "i4"), ("n", "i4")])
 
@@ -109,6 +109,10 @@ def in_order(e: np.ndarray) -> np.ndarray:
 def merge_scan(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both arrays as one, with the first entry of each (a, b); and the other entries, which repeat it."""
     e = in_order(np.concatenate([x, y]))
+    # rows that are given twice are one
+    twice = np.zeros(len(e), bool)
+    twice[1:] = (e["a"][1:] == e["a"][:-1]) & (e["b"][1:] == e["b"][:-1]) & (e["lo"][1:] == e["lo"][:-1]) & (e["id"][1:] == e["id"][:-1]) & (e["text"][1:] == e["text"][:-1])
+    e = e[~twice]
     later = np.zeros(len(e), bool)
     later[1:] = (e["a"][1:] == e["a"][:-1]) & (e["b"][1:] == e["b"][:-1])
     return e[~later], e[later]
@@ -173,7 +177,7 @@ def _rows(e: np.ndarray, state: int | np.ndarray) -> pa.RecordBatch:
 #: anchor has several contexts; or so many that its strings are dealt out one by one.
 REPEATS, OPEN, MANY = 0, 1, 2
 RUNS = "id long, text long, lo int, n int, state int"
-BATCH_ENTRIES, MANY_CONTEXTS = 150_000, 20_000
+BATCH_ENTRIES, MANY_CONTEXTS = 100_000, 20_000
 
 
 class _Block:
@@ -248,11 +252,14 @@ def compared(e: np.ndarray, contexts: list[bytes], span: int) -> Iterator[pa.Rec
     edges = np.flatnonzero(np.concatenate([[True], e["a"][order][1:] != e["a"][order][:-1], [True]]))
     at = 0
     while at < len(order):
-        limit = np.searchsorted(total, (total[at - 1] if at else 0) + 400_000)
+        limit = np.searchsorted(total, (total[at - 1] if at else 0) + 250_000)
         end = int(edges[min(np.searchsorted(edges, max(limit, at + 1)), len(edges) - 1)])
         own = order[at:end]
         at = end
         own = own[np.lexsort((e["lo"][own], e["text"][own], e["id"][own]))]
+        twice = np.zeros(len(own), bool)
+        twice[1:] = (e["lo"][own[1:]] == e["lo"][own[:-1]]) & (e["id"][own[1:]] == e["id"][own[:-1]]) & (e["text"][own[1:]] == e["text"][own[:-1]])
+        own = own[~twice]
         n = e["n"][own].astype(np.int64)
         codes = BYTE_CODE[np.frombuffer(b"".join(contexts[k] for k in own), np.uint8)]
         begin = np.cumsum(n + span - 1) - (n + span - 1)
@@ -314,6 +321,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
     ids come last. Rows that share an id are ordered by the hash of their texts, and equal rows count as
     one. Null and empty texts lose nothing.
     """
+    small_batches(docs.sparkSession)
     top = 2**63 - 1
     base = docs.select(F.col(id_column).alias("_own"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("_text"))
     base = base.withColumn("_id", F.coalesce(F.col("_own").cast("long"), F.lit(top))).withColumn("_hash", F.xxhash64("_text"))
@@ -331,7 +339,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
                 e["text"] = b.column(b.schema.get_field_index("_hash")).to_numpy()[text]
                 parts.append(e)
                 held += len(e)
-                if held > 600_000:
+                if held > 250_000:
                     yield blobs_of(np.concatenate(parts), blocks)
                     parts, held = [], 0
             if held:
@@ -383,7 +391,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_colum
                     e["id"], e["text"], e["lo"], e["n"] = own, text, start, 1
                     single.append(e)
                     held += 4 * len(e)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield out(parts, contexts, single)
                     parts, contexts, single, held = [], [], [], 0
             if held:
