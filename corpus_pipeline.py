@@ -18,6 +18,8 @@ from gramwell.llm.store import written
 from gramwell.llm.toxicity import CUT, fold, learn, score_texts
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies of the pipeline: least percentage of common shingles, and words of a shingle.
+NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; documents without words or ids stay."""
-    copies = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each component of near copies: that of the smallest id, null ids last. Rows without words stay.
+
+    Texts link from 80 % of common five-word shingles, which is more than op9's four words and 85 % find.
+    Each row is a node by a key of its own, written once, as ids may be null or repeated.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard_components(rows, percent=NEAR_PERCENT, size=NEAR_SHINGLE, id_column="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_run(spark, tmp_path):
     rows = corpus_pipeline.run(spark, d).collect()
     ids = {r["doc_id"] for r in rows}
     assert ids and not ids & {400, 401, 402} and {403, 404, 405} <= ids
+
+
+def test_near_copies_and_rows_without_a_unique_id(spark):
+    words = [f"w{i}" for i in range(50)]
+    changed = words[:25] + ["other"] + words[26:]  # 41 of 51 five-word shingles are common, 43 of 51 four-word ones
+    far = words[:24] + ["other", "more"] + words[26:]  # 40 of 52 five-word shingles
+    other, third, fourth = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    given = [(7, " ".join(words)), (3, " ".join(changed)), (8, " ".join(far).replace("w1 ", "v1 "))]
+    given += [(None, other), (None, other), (None, third), (5, third), (6, fourth), (6, fourth), (6, "not a copy"), (None, None), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = written(corpus_pipeline.near_duplicates(spark, docs, ""), "d")
+    want = [(3, " ".join(changed)), given[2], (None, other), (5, third), (6, fourth), (6, "not a copy"), (None, None), (None, None), (9, ""), (9, "")]
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
