@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramwell.llm.decontamination import find_items
+from gramwell.llm.decontamination import WINDOW, find_items
 from gramwell.llm.jaccard_join import jaccard_components
 from gramwell.llm.packing import pack
 from gramwell.llm.secret_scans import scan_secrets
@@ -43,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of eight words of any benchmark item."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    """Documents that hold no window of eight words of any benchmark item; items of fewer words have none."""
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS, least_words=WINDOW)
     return found.where(F.size("items") == 0).select(*COLUMNS)
 
 

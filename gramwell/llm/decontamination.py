@@ -61,8 +61,8 @@ class Patterns:
     names: list[str] = field(default_factory=list)
 
     @classmethod
-    def of(cls, items: list[tuple[str, str]], window: int = WINDOW) -> Patterns:
-        """items: (name, text)."""
+    def of(cls, items: list[tuple[str, str]], window: int = WINDOW, least_words: int = 1) -> Patterns:
+        """items: (name, text); those of fewer than least_words words have no window."""
         data, offs = flat(pa.array([t for _, t in items], pa.string()))
         starts, ends, firsts = words(data, offs, WORD)
         prints = word_prints(data, starts, ends)
@@ -73,7 +73,7 @@ class Patterns:
         for k in range(len(items)):
             a, z = firsts[k], firsts[k + 1]
             m = min(window, int(z - a))
-            for p in range(a, z - m + 1) if m else ():
+            for p in range(a, z - m + 1) if m >= max(1, least_words) else ():
                 own = found.setdefault(m, {}).setdefault(tuple(ids[p : p + m].tolist()), (b" ".join(low[s:e] for s, e in zip(starts[p : p + m], ends[p : p + m], strict=True)), []))[1]
                 if not own or own[-1] != k:
                     own.append(k)
@@ -157,11 +157,12 @@ def matches(patterns: Patterns, texts: pa.Array) -> tuple[np.ndarray, list[np.nd
     return np.diff(firsts), np.cumsum(cover[:-1]) > 0, items, firsts
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", keep: tuple[str, ...] = (), max_window_words: int = 4_000_000, slice_bytes: int = 4 << 20) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", keep: tuple[str, ...] = (), max_window_words: int = 4_000_000, slice_bytes: int = 4 << 20, least_words: int = 1) -> DataFrame:
     """Columns `keep` of docs, n_words, hit_spans (runs of hit words, from 0, end exclusive) and items (names, sorted).
 
     items: item_column (any type, named by its string) and text. Null texts have no words; items
-    without words have no window; items of one name count once. One row per row of docs.
+    without words, or with fewer than least_words, have no window; items of one name count once. One row
+    per row of docs.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_column).cast("string").alias("n"), F.coalesce(F.col("text"), F.lit("")).alias("t")).where("n is not null")
@@ -172,7 +173,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_colum
     key = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_column).alias("_text"))
     for part in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == part)
-        held = spark.sparkContext.broadcast(Patterns.of([(r["n"], r["t"]) for r in own.collect()], window))
+        held = spark.sparkContext.broadcast(Patterns.of([(r["n"], r["t"]) for r in own.collect()], window, least_words))
         found = _pass(key, fields, held, slice_bytes, parts > 1)
         out = found if out is None else _merged(out, found, fields)
     return out if parts == 1 else out.drop("_key")

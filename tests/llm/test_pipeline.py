@@ -69,3 +69,13 @@ def test_near_copies_and_rows_without_a_unique_id(spark):
     want = [(3, " ".join(changed)), given[2], (None, other), (5, third), (6, fourth), (6, "not a copy"), (None, None), (None, None), (9, ""), (9, "")]
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_short_items_drop_no_clean_document(spark, tmp_path):
+    d = str(tmp_path)
+    eight = "one two three four five six seven eight"
+    items = [(0, "yes"), (1, "Ada Lovelace"), (2, "a b c d e f g"), (3, eight), (4, ""), (5, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    given = [(0, "well yes it is so"), (1, "Ada Lovelace wrote a b c d e f g"), (2, f"x {eight} y"), (3, eight[4:]), (4, None), (5, "yes")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, d).collect()} == {0, 1, 3, 4, 5}
