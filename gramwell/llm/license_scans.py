@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with licence templates.
 
 A block is a line of a text, cut into windows of `block_words` words every half window where it is
-longer. A block matches a template when it holds at least `threshold` of the template's distinct
+longer. Where a text has line breaks, the words around each rare template word are a block too, across
+lines, as far as the template is long, so that a wrapped licence is found. A block matches a template when it holds at least `threshold` of the template's distinct
 words. Words are put in one global order, rarest in the corpus first; a block and a template that
 share enough words must then share one among their first words (prefix filter). The length filter
 drops blocks with too few template words, the positional filter pairs whose remaining words cannot
@@ -14,6 +15,7 @@ vocabulary, whose size the templates bound.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ TEMPLATES = (
 #: One or more characters outside words, of either case; and a word.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The words of a template.
+TEMPLATE_WORD = rf"{WORD}+"
 
 
 def word_array(text: Column) -> Column:
@@ -46,9 +50,7 @@ def word_array(text: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWERED)))))
+    return list(dict.fromkeys(re.findall(TEMPLATE_WORD, text.translate(str.maketrans(UPPER, LOWERED)))))
 
 
 def phrase_places(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -73,7 +75,7 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8,
     """Every (block, template) pair that meets the threshold.
 
     Rows: _id, _hash (xxhash64 of the text, so that repeated or null ids stay apart), line, start (word
-    in the line), label, template (number), overlap, containment. Null and empty texts have no block.
+    in the line; a block across lines has a null line and counts words of the text), label, template (number), overlap, containment. Null and empty texts have no block.
     """
     spark = docs.sparkSession
     sets = [template_words(t) for _, t in templates]
@@ -109,7 +111,30 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8,
     overlap = F.size(F.array_intersect("_tokens", "order"))
     pairs = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
     pairs = pairs.withColumn("containment", F.col("overlap") / F.col("size"))
-    return pairs.select("_id", "_hash", "line", "start", "label", "template", "overlap", "containment").distinct()
+    columns = ("_id", "_hash", "line", "start", "label", "template", "overlap", "containment")
+    return pairs.select(*columns).unionByName(_wrapped(base.where(F.col("_text").rlike(some)), templates, sets, need, rank).select(*columns)).distinct()
+
+
+def _wrapped(texts: DataFrame, templates, sets: list[list[str]], need: list[int], rank: dict[str, int]) -> DataFrame:
+    """Matches in texts of several lines: blocks around each prefix word, which hold every passage of the template's length with that word."""
+    long = [len(re.findall(TEMPLATE_WORD, t)) for _, t in templates]
+    index = []
+    for t, s in enumerate(sets):
+        order = sorted(s, key=rank.__getitem__)
+        index += [(w, t, long[t], len(s), need[t], templates[t][0], order) for w in order[: len(s) - need[t] + 1]]
+    starts, most = sorted({r[0] for r in index}), max(long, default=1)
+    index = texts.sparkSession.createDataFrame(index, "word string, template int, long int, size int, need int, label string, order array<string>")
+    many = texts.where(F.contains("_text", F.lit("\n"))).select("_id", F.xxhash64("_text").alias("_hash"), word_array(F.col("_text")).alias("_words"))
+    # a block of the longest template's reach first, so that no row holds a whole text
+    low = lambda at, reach: F.greatest(at - reach + 1, F.lit(0))
+    held = lambda words, at, reach: F.slice(words, low(at, reach) + 1, at + reach - low(at, reach))
+    at = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(starts), i)), lambda i: i.isNotNull())
+    each = F.transform(at, lambda i: F.struct(low(i, F.lit(most)).alias("first"), (i - low(i, F.lit(most))).alias("at"), held(F.col("_words"), i, F.lit(most)).alias("words")))
+    each = many.select("_id", "_hash", F.explode(each).alias("b")).select("_id", "_hash", "b.*").withColumn("word", F.get("words", F.col("at")))
+    pairs = each.join(F.broadcast(index), "word")
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect(held(F.col("words"), F.col("at"), F.col("long")), F.col("order")))).where(F.col("overlap") >= F.col("need"))
+    start = F.col("first") + low(F.col("at"), F.col("long"))
+    return pairs.withColumns({"line": F.lit(None).cast("int"), "start": start, "containment": F.col("overlap") / F.col("size")})
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, block_words: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

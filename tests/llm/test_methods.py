@@ -270,6 +270,20 @@ def test_license_templates(spark):
     assert (rows[5]["n_base"], rows[5]["first_word"], rows[5]["last_word"]) == (2, 0, 3)
 
 
+@pytest.mark.parametrize("width", [20, 79])
+def test_wrapped_license_templates(spark, width):
+    import textwrap
+
+    whole = [(label, t) for label, t in license_scans.TEMPLATES if len(t) > 60]
+    texts = ["Name of the thing\n\n" + "\n".join(start + line for line in textwrap.wrap(t, width)) + "\n\nmore text" for _, t in whole for start in ("", " * ")]
+    texts += ["released\nin a year of much rain and little wind under\nthe long shade of trees that no license had", "one word\n" * 40]
+    rows = {r["doc_id"]: r for r in license_scans.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(rows) == len(texts)
+    for k in range(2 * len(whole)):
+        assert rows[k]["labels"] == whole[k // 2][0] and rows[k]["score"] == 1.0
+    assert all(rows[k]["labels"] == "" and rows[k]["score"] == 0.0 for k in range(2 * len(whole), len(texts)))
+
+
 # --- 9
 
 
