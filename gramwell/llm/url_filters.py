@@ -135,16 +135,19 @@ class Cascade:
             out = F.when(level.passes(key), out).otherwise(F.lit(level.number % 2 == 1))
         return out
 
-    def listed_of(self, df: DataFrame, keys: str, out: str, id_column: str) -> DataFrame:
+    def listed_of(self, df: DataFrame, keys: str, out: str, id_column: str | None = None) -> DataFrame:
         """df with `out`: those of the array column `keys` that are listed, in order.
 
-        Bit tests; or beyond the size bound a join of the exploded keys, spread by AQE where a key is hot.
+        Bit tests; or beyond the size bound a join of the exploded keys of each distinct array, spread
+        by AQE where a key is hot. Rows are told apart by their own keys, so ids may be null or repeated
+        (id_column is not used).
         """
         if not self.joined:
             return df.withColumn(out, F.filter(F.col(keys), lambda k: self.has(k)))
-        each = df.select(id_column, F.posexplode(keys).alias("at", "key")).join(self.listed, "key", "left_semi")
-        kept = each.groupBy(id_column).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias(out))
-        return df.join(kept, id_column, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+        own = df.select(F.col(keys).alias("_own")).where(F.size("_own") > 0).distinct()
+        each = own.select("_own", F.posexplode("_own").alias("at", "key")).join(self.listed, "key", "left_semi")
+        kept = each.groupBy("_own").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias(out))
+        return df.join(kept, df[keys] == kept["_own"], "left").drop(kept["_own"]).withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def longest(keys: Column) -> Column:
@@ -152,7 +155,7 @@ def longest(keys: Column) -> Column:
     return F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
 
 
-def judge_urls(pages: DataFrame, rules=RULES, listed_hosts: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, listed_hosts: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", max_filter_bytes: int = 64 << 20) -> DataFrame:
     """Adds host, path, rule and verdict to each page, by the longest rule that fits, else by the listed hosts.
 
     rules: (action, host, path) with action block or allow; if one key has both, allow holds.
@@ -169,10 +172,10 @@ def judge_urls(pages: DataFrame, rules=RULES, listed_hosts: DataFrame | None = N
     table = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     out = keyed
     for action in ("block", "allow"):
-        cascade = Cascade(spark, table([h.translate(str.maketrans(UPPER, LOWERED)) + p for a, h, p in rules if a == action]), universe)
-        out = cascade.listed_of(out, "_rule_keys", f"_{action}", id_column).withColumn(f"_{action}", longest(F.col(f"_{action}")))
-    cascade = Cascade(spark, listed_hosts if listed_hosts is not None else table([]), hosts)
-    out = cascade.listed_of(out, "_host_keys", "_listed", id_column)
+        cascade = Cascade(spark, table([h.translate(str.maketrans(UPPER, LOWERED)) + p for a, h, p in rules if a == action]), universe, max_filter_bytes)
+        out = cascade.listed_of(out, "_rule_keys", f"_{action}").withColumn(f"_{action}", longest(F.col(f"_{action}")))
+    cascade = Cascade(spark, listed_hosts if listed_hosts is not None else table([]), hosts, max_filter_bytes)
+    out = cascade.listed_of(out, "_host_keys", "_listed")
     allow_wins = F.col("_allow").isNotNull() & (F.col("_block").isNull() | (F.length("_allow") > F.length("_block")) | ((F.length("_allow") == F.length("_block")) & (F.col("_allow") >= F.col("_block"))))
     out = out.withColumn("rule", F.when(allow_wins, F.col("_allow")).otherwise(F.col("_block")))
     verdict = F.when(allow_wins, "allow").when(F.col("_block").isNotNull(), "block").when(F.size("_listed") > 0, "block").otherwise("allow")

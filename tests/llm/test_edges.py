@@ -129,3 +129,12 @@ def test_urls(spark):
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(pages, listed_hosts=url_filters.hosts_with_labels(pages)).collect()}
     assert got == {(0, "a.example.net", "/en/x", "example.net/en/", "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "x.casino-win.com", "", None, "block"), (5, "net", "", None, "allow"), (6, "example.com", "/de/", "example.com/de/", "block"), (None, "b.org", "/fr/", "org/fr/", "allow"), (7, "a.org", "/fr", None, "allow"), (8, "badexample.com", "/de/", None, "allow")}
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_urls_beyond_the_filter_bound(spark):
+    rows = [(None, "https://b.org/fr/#x"), (None, "http://x.casino-win.com"), (None, None), (6, "http://example.com/de/"), (6, "http://a.example.net/en/x"), (6, "http://example.com/de/"), (7, ""), (8, "http://plain.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judged = lambda most: by_id(url_filters.judge_urls(pages, listed_hosts=url_filters.hosts_with_labels(pages), max_filter_bytes=most).collect())
+    got = judged(0)
+    assert got == judged(64 << 20)
+    assert [r[-2:] for r in got if r[1] == "http://x.casino-win.com"] == [(None, "block")] and [r[-2:] for r in got if r[1] == "http://a.example.net/en/x"] == [("example.net/en/", "allow")]
