@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a logarithmic family of suffix arrays.
+"""Exact removal of repeated byte strings by a logarithmic family of sorted anchor fingerprints.
 
 Every `span` bytes hold a shortest-fingerprint anchor: the leftmost least fingerprint among their
 substrings of `gram` bytes. Equal strings have their anchor at the same offset, so only suffixes that
@@ -9,12 +9,12 @@ A batch of documents gives one sorted array of entries in each block of fingerpr
 arrays form a logarithmic family: a new one is merge-scanned with the last level while that is of
 similar size, geometrically. A scan finds entries of one fingerprint and context; the later ones
 repeat and leave the index. When all batches are in, anchors of several contexts remain undecided:
-their strings agree in part. Those are compared string by string in a second family, whose entries
-are single strings of `span` bytes under 128-bit fingerprints.
+their strings agree in part. Those are compared string by string, by two fingerprints of `span`
+bytes: contexts of a block together, or single strings in other blocks where an anchor has very many.
 
 Entries are ordered by fingerprint, not by byte, since only equal prefixes need to be neighbours. Equal
 strings are recognised by two 64-bit fingerprints with different bases. A block holds a hash range of
-fingerprints, and repeats inside one batch never leave it, so that a common string sends one entry a batch.
+fingerprints; all entries of a batch are sent, repeats inside it included.
 """
 
 from __future__ import annotations
