@@ -8,7 +8,8 @@ is compared word by word, then byte by byte. All segments of a batch of document
 that the loop is over moves, not over words.
 
 Benchmark words and windows are broadcast: `max_window_words` bounds them, and a larger benchmark is
-searched in parts, one pass over the documents each, with the results of the passes merged by row.
+searched in parts, one pass over the documents each. A pass is written and its broadcast let go before
+the next one, so that one part is held at a time; the results of the passes are merged by row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramwell.llm.textbytes import BASE_A, LOWER, WORD, column, flat, sliced, word_prints, words
+from gramwell.llm.store import forget, written
+from gramwell.llm.textbytes import LOWER, WORD, column, flat, sliced, word_prints, words
 
 WINDOW, BLOCK, SEGMENT, TABLE_BITS = 8, 2, 128, 18
 
@@ -59,16 +61,22 @@ class Patterns:
     prints: np.ndarray
     groups: list[Group] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
+    seed: int = 0
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int = WINDOW, least_words: int = 1) -> Patterns:
-        """items: (name, text); those of fewer than least_words words have no window."""
+        """items: (name, text); those of fewer than least_words words have no window.
+
+        Fingerprints are seeded anew until all different words have different ones, so that an id is a
+        word. A document's word with the same fingerprint may be another one; bytes are compared there.
+        """
         data, offs = flat(pa.array([t for _, t in items], pa.string()))
         starts, ends, firsts = words(data, offs, WORD)
-        prints = word_prints(data, starts, ends)
-        known = np.unique(prints)
-        ids = np.searchsorted(known, prints) + 1
         low = LOWER[data].tobytes()
+        distinct, seed = len({low[s:e] for s, e in zip(starts, ends, strict=True)}), 0
+        while len(known := np.unique(prints := word_prints(data, starts, ends, seed))) < distinct:
+            seed += 1
+        ids = np.searchsorted(known, prints) + 1
         found: dict[int, dict[tuple, tuple[bytes, list[int]]]] = {}
         for k in range(len(items)):
             a, z = firsts[k], firsts[k + 1]
@@ -77,7 +85,7 @@ class Patterns:
                 own = found.setdefault(m, {}).setdefault(tuple(ids[p : p + m].tolist()), (b" ".join(low[s:e] for s, e in zip(starts[p : p + m], ends[p : p + m], strict=True)), []))[1]
                 if not own or own[-1] != k:
                     own.append(k)
-        out = cls(known, [], [n for n, _ in items])
+        out = cls(known, [], [n for n, _ in items], seed)
         for m, table in sorted(found.items()):
             b = min(BLOCK, m)
             rows = np.array(list(table), np.int64).reshape(-1, m)
@@ -136,7 +144,7 @@ def matches(patterns: Patterns, texts: pa.Array) -> tuple[np.ndarray, list[np.nd
     """Of each text: its number of words, which of its words are hit, and the items found; first words."""
     data, offs = flat(texts)
     starts, ends, firsts = words(data, offs, WORD)
-    ids = patterns.ids(word_prints(data, starts, ends, BASE_A))
+    ids = patterns.ids(word_prints(data, starts, ends, patterns.seed))
     cover = np.zeros(len(ids) + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(len(texts))]
     low = None
@@ -162,21 +170,28 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_colum
 
     items: item_column (any type, named by its string) and text. Null texts have no words; items
     without words, or with fewer than least_words, have no window; items of one name count once. One row
-    per row of docs.
+    per row of docs. Kept columns named n_words, hit_spans or items give way to the results.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_column).cast("string").alias("n"), F.coalesce(F.col("text"), F.lit("")).alias("t")).where("n is not null")
     size = rows.agg(F.sum(F.length("t")).alias("s")).first()["s"] or 0
     parts = max(1, -(-int(size) // (2 * max_window_words)))
     out = None
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name not in ("n_words", "hit_spans", "items")]
     key = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_column).alias("_text"))
     for part in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == part)
         held = spark.sparkContext.broadcast(Patterns.of([(r["n"], r["t"]) for r in own.collect()], window, least_words))
         found = _pass(key, fields, held, slice_bytes, parts > 1)
-        out = found if out is None else _merged(out, found, fields)
-    return out if parts == 1 else out.drop("_key")
+        if parts == 1:
+            return found
+        found = written(found, "found")
+        held.destroy()
+        if out is not None:
+            before, found = (out, found), written(_merged(out, found, fields), "merged")
+            forget(*before)
+        out = found
+    return out.drop("_key")
 
 
 def _pass(docs: DataFrame, fields: list, held, slice_bytes: int, keyed: bool) -> DataFrame:

@@ -32,7 +32,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here."""
     path = work_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() made, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def input_bytes(df: DataFrame) -> int:
