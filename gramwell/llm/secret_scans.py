@@ -32,6 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CHECKED = re.compile(r"(?:gh[opsur]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -97,10 +98,14 @@ def find_secrets(text: str, has_hex: bool = True) -> list[tuple[str, int, int]]:
     found, free = [], dict.fromkeys(KINDS, 0)
     hits = sorted((end + 1 - n, kind) for end, (n, kind) in automaton().iter(lowered(text)))
     for at, kind in hits:
-        if at >= free[kind] and (m := match_at(kind, text, at)):
+        if at < free[kind]:
+            continue
+        if m := match_at(kind, text, at):
             free[kind] = m[0]
             if m[1]:
                 found.append((at, KINDS.index(kind), m[0]))
+        elif kind == "jwt" and (run := JWT_RUN.match(text, at)):
+            free[kind] = run.end()  # what follows the run fails its other keywords alike, so each run is read once
     if has_hex:
         found += [(m.start(), KINDS.index("hex"), m.end()) for m in HEX.finditer(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
@@ -139,9 +144,10 @@ def scan_secrets(docs: DataFrame, text_column: str = "text", keep: tuple[str, ..
     """Columns `keep` of docs and `spans` (kind, start, end), one row per row of docs, in no set order.
 
     redact: also `redacted`, the text with its secrets replaced (null stays null). A null text counts
-    as empty and has no span. Columns that are not kept don't reach Python.
+    as empty and has no span. Columns that are not kept don't reach Python; kept ones named spans (or
+    redacted) give way to the results.
     """
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name != "spans" and not (redact and f.name == "redacted")]
     extra = [T.StructField("redacted", T.StringType())] if redact else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
