@@ -1,7 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated window thresholds.
 
 A window is one word (at most 48 bytes, A-Z lower-cased), framed by word marks. One dictionary is
-trained on windows of ordinary texts, the other on windows that only toxic texts show. A window is
+trained on the windows of ordinary texts, the other on those of toxic texts, weighted by how much
+likelier their starts are there: most windows of a toxic text are as ordinary as any. A window is
 compressed with each, and where the toxic dictionary saves at least a threshold more bytes, it counts
 as toxic. The threshold and a logistic curve over a text's toxic windows (how many, and how dense) are
 calibrated on labelled texts that no dictionary was trained on.
@@ -10,12 +11,14 @@ A few bytes are too short to compress, so each byte is written as a two-byte cod
 ends in a trailer that both dictionaries hold: a shared stem of four letters then outweighs the cost of
 a match, and lengths differ by what the dictionaries know instead of by block headers.
 
-Labels are learnt from a bounded sample (`max_docs` of each class, by the hash of their ids); scoring
+Labels are learnt from a bounded sample (`max_docs` documents of each class and `max_bytes` of text, by
+the hash of their ids), and each dictionary from DRAWS windows, drawn before they are framed. Scoring
 covers every word of every text.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -32,8 +35,12 @@ from gramwell.llm.textbytes import column, sliced
 
 PIECE = re.compile(rb"[0-9a-z\x80-\xff]{1,48}")
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT_BYTES, SEED = 100_000, 8_192, 64, 7
-#: Documents of each class that labels are learnt from, and window thresholds tried.
-MAX_DOCS, THRESHOLDS, CUT = 3_000, tuple(range(2, 13)), 0.7
+#: Bounds of what labels are learnt from: documents of each class, bytes of their texts, windows that a dictionary is trained on.
+MAX_DOCS, MAX_BYTES, DRAWS = 3_000, 48 << 20, 300_000
+#: Lengths of the starts of windows whose rates in both classes are compared, in bytes; toxic texts that a start needs, and how many times likelier it must be there.
+STARTS, LEAST_TEXTS, LEAST_RATIO, LEAST_STRENGTH = (4, 10), 3, 8, 0.02
+#: Window thresholds tried, and the score from which a text counts as toxic.
+THRESHOLDS, CUT = tuple(range(2, 13)), 0.7
 REMEMBERED = 400_000
 
 _codes = random.Random(SEED)
@@ -59,20 +66,51 @@ def compressor(dictionary: bytes):
     return z.ZstdCompressor(dict_data=held, compression_params=p)
 
 
-def trained(weights: Counter, size: int, most: int, rnd: random.Random) -> bytes:
-    """A dictionary over windows, each as often as its weight, `most` times at most."""
+def trained(weights: Counter, size: int, rnd: random.Random) -> bytes:
+    """A dictionary over windows, drawn in proportion to their weights, DRAWS in all at most."""
     import zstandard as z
 
-    samples = [framed(w) for w, k in sorted(weights.items()) for _ in range(min(int(k), most))]
-    rnd.shuffle(samples)
-    samples = samples[:600_000]
-    lines = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
+    total = sum(weights.values())
+    share = min(1.0, DRAWS / max(1, total))
+    drawn: list[bytes] = []
+    for w, k in sorted(weights.items()):
+        drawn += [w] * int(k * share + rnd.random())
+    rnd.shuffle(drawn)
+    lines = [b"".join(map(framed, drawn[i : i + 8])) for i in range(0, len(drawn), 8)]
     try:
         return z.train_dictionary(size, lines, k=SEGMENT_BYTES, d=8).as_bytes()
     except z.ZstdError:  # too few samples for the trainer: the windows themselves are the dictionary
         return TRAILER + b"".join(framed(w) for w, _ in weights.most_common(size // 40)) + TRAILER
 
 
+def starts(own: set[bytes]) -> set[bytes]:
+    return {w[:n] for w in own for n in range(STARTS[0], min(len(w), STARTS[1]) + 1)}
+
+
+def toxic_weights(train: list[tuple[bytes, int]], seen: Counter) -> Counter:
+    """Weights of the windows of toxic texts, by their strongest start: how many toxic texts have it, times the log of how much likelier it is there.
+
+    Rates are smoothed, so that a window of a few ordinary texts, as of a wrong label, still counts.
+    Starts of fewer than LEAST_TEXTS toxic texts, or not LEAST_RATIO times likelier, have no strength,
+    and windows of less than LEAST_STRENGTH of the strongest are left out.
+    """
+    toxic: Counter = Counter()
+    for text, y in train:
+        if y:
+            toxic.update(starts(set(pieces(text))))
+    toxic = Counter({w: k for w, k in toxic.items() if k >= LEAST_TEXTS})
+    ordinary: Counter = Counter()
+    for text, y in train:
+        if not y:
+            ordinary.update(starts(set(pieces(text))) & toxic.keys())
+    n = sum(y for _, y in train)
+    ratio = {x: ((k + 0.5) / (n + 1)) / ((ordinary[x] + 0.5) / (len(train) - n + 1)) for x, k in toxic.items()}
+    strength = {x: toxic[x] * math.log(r) for x, r in ratio.items() if r >= LEAST_RATIO}
+    least = LEAST_STRENGTH * max(strength.values(), default=0.0)
+    best = {w: max((strength.get(x, 0.0) for x in starts({w})), default=0.0) for w in seen}
+    return Counter({w: k * best[w] for w, k in seen.items() if best[w] > 0 and best[w] >= least})
+
+
 @dataclass
 class Model:
     """Two dictionaries, the window threshold and the logistic curve. Bounded: about 110 KB."""
@@ -132,18 +170,18 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     seen: tuple[Counter, Counter] = Counter(), Counter()
     for text, y in train:
         seen[y].update(set(pieces(text)))
-    ordinary, toxic = seen
-    only = Counter({w: k for w, k in toxic.items() if w not in ordinary and (k > 1 or len(toxic) < 5_000)})
-    bad = trained(only, TOXIC_BYTES, 5_000, rnd)
-    good = trained(ordinary, ORDINARY_BYTES, 50, rnd)
-    for _ in range(2):  # ordinary windows that look toxic count more in the ordinary dictionary
+    ordinary = seen[0]
+    likely = toxic_weights(train, seen[1])
+    bad = trained(likely, TOXIC_BYTES, rnd)
+    good = trained(ordinary, ORDINARY_BYTES, rnd)
+    for _ in range(2):  # ordinary windows that look toxic count more in the ordinary dictionary, unless they are likelier in toxic texts
         d = Model(good, bad, 0, (0, 0, 0)).difference()
-        alarms = [w for w, k in ordinary.items() if d(w) >= 2]
+        alarms = [w for w in ordinary if w not in likely and d(w) >= 2]
         if not alarms:
             break
         for w in alarms:
             ordinary[w] = max(200, ordinary[w] * 4)
-        good = trained(ordinary, ORDINARY_BYTES, 200, rnd)
+        good = trained(ordinary, ORDINARY_BYTES, rnd)
     d, cache = Model(good, bad, 0, (0, 0, 0)).difference(), {}
     table = np.zeros((len(held), len(THRESHOLDS)))
     total = np.zeros(len(held))
@@ -161,11 +199,12 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     return Model(good, bad, threshold, tuple(float(c) for c in curve))
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable=None, max_docs: int = MAX_DOCS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, usable=None, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """A model of the labelled docs among those with `usable` (a Column over the id), `max_docs` of each class at most.
 
-    Ids are chosen in the labels, so that only chosen texts move: 2 * max_docs ids are broadcast.
-    Null ids, labels and texts are left out; of repeated labels of an id the largest holds.
+    Ids are chosen in the labels by their hash, and of their texts those that fit into `max_bytes` in that
+    order; what reaches the driver is bounded by both. 2 * max_docs ids are broadcast. Null ids, labels
+    and texts are left out; of repeated labels of an id the largest holds.
     """
     ids = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     if usable is not None:
@@ -174,10 +213,21 @@ def learn(docs: DataFrame, labels: DataFrame, usable=None, max_docs: int = MAX_D
     order = F.xxhash64("_id")
     chosen = ids.where("_y = 0").orderBy(order, "_id").limit(max_docs).unionByName(ids.where("_y = 1").orderBy(order, "_id").limit(max_docs))
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).where("_text is not null")
-    got = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_y").collect()
-    got.sort(key=lambda r: (str(r["_id"]), r["_text"]))
+    known = texts.join(F.broadcast(chosen), "_id")
+    # several texts of one id count once, by the least of their hashes
+    sizes = known.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.octet_length("_text").alias("n"))).alias("t"), F.first("_y").alias("_y")).select("_id", "t.h", "t.n", "_y", order.alias("o")).collect()
+    taken, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["o"], str(r["_id"]))):
+        if held + r["n"] <= max_bytes:
+            held += r["n"]
+            taken.append((r["_id"], r["h"], r["_y"]))
+    kind = docs.schema[id_column].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(taken, f"_id {kind}, _h bigint, _y int")
+    rows = texts.join(F.broadcast(wanted), "_id").where(F.xxhash64("_text") == F.col("_h")).select("_id", "_text", "_y").dropDuplicates(["_id"])
+    got = [(str(r["_id"]), r["_text"].encode(), r["_y"]) for r in rows.toLocalIterator()]
+    got.sort()
     random.Random(SEED).shuffle(got)
-    return fit([(r["_text"].encode(), r["_y"]) for r in got])
+    return fit([(text, y) for _, text, y in got])
 
 
 class _Judged(dict):
@@ -200,10 +250,11 @@ _judged: dict[int, _Judged] = {}
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_column: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """Columns `keep` of docs, n_windows, n_toxic and score (0 to 1), one row per row of docs.
 
-    Null texts count as empty; texts without a window get the curve's value at none.
+    Null texts count as empty; texts without a window get the curve's value at none. Kept columns named
+    n_windows, n_toxic or score give way to the results.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [f for f in docs.schema.fields if f.name in keep and f.name not in ("n_windows", "n_toxic", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
