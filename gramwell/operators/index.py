@@ -7,7 +7,8 @@ before a text's first is the delimiter.
 
 A suffix is compared by its text up to the delimiter and then by the rank of the text that follows,
 which prefix doubling over whole texts gives. Positions are numbered with a range-partitioned sort and
-per-partition offsets, and ranks are prefix sums over blocks, so that no step needs one partition.
+per-partition offsets, texts are ranked in the same way, and ranks are prefix sums over blocks and
+groups of blocks, so that one partition only ever holds a row a partition or a group.
 Sorting by whole suffixes suits collections of short texts; search does not use it.
 """
 
@@ -23,10 +24,19 @@ DELIMITER = ""
 BLOCK = 1 << 16
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df with its rows and partitions fixed: in the folder of spark.checkpoint.dir, or in memory where none is set."""
+    sc, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder:
+            return df.persist()
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """Rows numbered from 0 in the given total order, by offsets of sorted partitions."""
-    placed = df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_i", 33))
-    placed = placed.persist()
+    placed = _settled(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_i", 33)))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     # one row a partition
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
@@ -34,14 +44,19 @@ def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
 
 
 def text_ranks(seqs: DataFrame) -> DataFrame:
-    """seq_id, follow: the rank of each text, read on through the collection, among all texts (1-based; prefix doubling)."""
+    """seq_id, follow: the rank of each text, read on through the collection, among all texts (1-based; prefix doubling).
+
+    Ranks are numbers of the distinct texts, then of the distinct pairs of ranks, in a range-partitioned sort.
+    """
     ordered = numbered(seqs.select("seq_id", "text"), "seq_id", name="at")
-    now = ordered.select("seq_id", "at", F.dense_rank().over(Window.orderBy("text")).cast("long").alias("r")).persist()
+    kinds = numbered(ordered.select("text").distinct(), "text", name="r")
+    now = _settled(ordered.join(kinds, "text").select("seq_id", "at", (F.col("r") + 1).alias("r")))
     n, step = now.count(), 1
     while step < n and now.select("r").distinct().count() < n:
         ahead = now.select((F.col("at") - step).alias("at"), F.col("r").alias("r2"))
         pair = now.join(ahead, "at", "left").withColumn("r2", F.coalesce("r2", F.lit(0)))
-        now = pair.select("seq_id", "at", F.dense_rank().over(Window.orderBy("r", "r2")).cast("long").alias("r")).persist()
+        kinds = numbered(pair.select("r", "r2").distinct(), "r", "r2", name="k")
+        now = _settled(pair.join(kinds, ["r", "r2"]).select("seq_id", "at", (F.col("k") + 1).alias("r")))
         step *= 2
     following = now.select((F.col("at") - 1).alias("at"), F.col("r").alias("follow"))
     return now.join(following, "at", "left").select("seq_id", F.coalesce("follow", F.lit(0)).alias("follow"))
@@ -111,23 +126,34 @@ def cumulative_counts(symbols: DataFrame) -> DataFrame:
     return counts.withColumn("c", F.coalesce(F.sum("n").over(Window.orderBy("sym").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
+def _running(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """idx and, for each column, its sum over all smaller idx.
+
+    Sums of blocks are added up in groups of blocks, and those of the groups in one window: a row for
+    each block * block symbols.
+    """
+    far = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c)
+    sums = [F.sum(c).alias(c) for c in columns]
+    placed = rows.withColumn("b", F.floor(F.col("idx") / block)).withColumn("g", F.floor(F.col("b") / block))
+    blocks = placed.groupBy("g", "b").agg(*sums)
+    groups = blocks.groupBy("g").agg(*sums).select("g", *[before(c, far("g")) for c in columns]).withColumnsRenamed({c: f"{c}_g" for c in columns})
+    blocks = blocks.select("g", "b", *[before(c, far("g", "b")) for c in columns]).withColumnsRenamed({c: f"{c}_b" for c in columns})
+    inside = placed.select("idx", "b", *[before(c, far("b", "idx")) for c in columns])
+    return inside.join(blocks, "b").join(groups, "g").select("idx", *[(F.col(c) + F.col(f"{c}_b") + F.col(f"{c}_g")).alias(c) for c in columns])
+
+
+def all_ranks(rows: DataFrame, symbols: list[str], block: int = BLOCK) -> DataFrame:
+    """idx, ranks, prefix_ranks: arrays over the symbols, of symbols equal to each, and smaller ones, before idx of rows(idx, sym)."""
+    n = range(len(symbols))
+    marks = rows.select("idx", *[(F.col("sym") == s).cast("long").alias(f"e{k}") for k, s in enumerate(symbols)], *[(F.col("sym") < s).cast("long").alias(f"s{k}") for k, s in enumerate(symbols)])
+    own = _running(marks, [f"{x}{k}" for x in "es" for k in n], block)
+    return own.select("idx", F.array(*[F.col(f"e{k}") for k in n]).alias("ranks"), F.array(*[F.col(f"s{k}") for k in n]).alias("prefix_ranks"))
+
+
 def ranks(rows: DataFrame, symbol: str, block: int = BLOCK) -> DataFrame:
     """idx, rank, prefix_rank of a symbol for every idx of rows(idx, sym): symbols equal to it, and smaller ones, before idx."""
-    one = rows.select("idx", F.floor(F.col("idx") / block).alias("b"), (F.col("sym") == symbol).cast("long").alias("e"), (F.col("sym") < symbol).cast("long").alias("s"))
-    totals = one.groupBy("b").agg(F.sum("e").alias("te"), F.sum("s").alias("ts"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    totals = totals.select("b", F.coalesce(F.sum("te").over(before), F.lit(0)).alias("te"), F.coalesce(F.sum("ts").over(before), F.lit(0)).alias("ts"))
-    inside = Window.partitionBy("b").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    own = one.select("idx", "b", F.coalesce(F.sum("e").over(inside), F.lit(0)).alias("e"), F.coalesce(F.sum("s").over(inside), F.lit(0)).alias("s"))
-    return own.join(totals, "b").select("idx", (F.col("e") + F.col("te")).alias("rank"), (F.col("s") + F.col("ts")).alias("prefix_rank"))
-
-
-def all_ranks(rows: DataFrame, symbols: list[str]) -> DataFrame:
-    """idx, ranks, prefix_ranks: arrays over the symbols."""
-    out = rows.select("idx")
-    for k, s in enumerate(symbols):
-        out = out.join(ranks(rows, s).select("idx", F.col("rank").alias(f"r{k}"), F.col("prefix_rank").alias(f"p{k}")), "idx")
-    return out.select("idx", F.array(*[F.col(f"r{k}") for k in range(len(symbols))]).alias("ranks"), F.array(*[F.col(f"p{k}") for k in range(len(symbols))]).alias("prefix_ranks"))
+    return all_ranks(rows, [symbol], block).select("idx", F.col("ranks")[0].alias("rank"), F.col("prefix_ranks")[0].alias("prefix_rank"))
 
 
 def low_bits(symbol: Column, bits: int) -> Column:

@@ -3,8 +3,8 @@
 A pattern with at most k errors has k + 1 parts of which one is exact. So each part gives seeds, texts
 give grams at every step-th position, and an equi-join on the gram yields candidate places; a part of
 length q + step - 1 always holds a gram at such a position. Only a candidate's chunk is then compared.
-The side of the seeds is small and that of the grams is as large as the texts divided by the step;
-which side is shuffled or broadcast is left to Spark's size estimates.
+The side of the seeds is counted and broadcast where it is small, so that texts are read once and compared
+where they are read; a larger one is joined by shuffles.
 
 Equal patterns are searched once. A hit is reported once per (qid, seq_id, pos), with its least number
 of errors. Families: hamming; edit with the ends that alignments may have: "MI" (default: the matched
@@ -51,27 +51,46 @@ def seeds(distinct: DataFrame, k: int) -> DataFrame:
     return cut.withColumn("at", F.col("start") + F.col("shift")).withColumn("gram", F.substring(F.col("pattern"), F.col("at") + 1, F.col("q"))).select("pid", "m", "q", "step", "gram", "at")
 
 
-def grams(pieces: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
-    """seq_id, off, q, step, gram, i: the grams of each kind at every step-th place of each chunk."""
+def grams(pieces: DataFrame, kinds: list[tuple[int, int]], of: Column | None = None) -> DataFrame:
+    """seq_id, off, chunk, q, step, gram, i: the grams of each kind at every step-th place of each chunk (or of `of`, a view of it)."""
+    of = F.col("chunk") if of is None else of
 
     def of_kind(q: int, step: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.length("chunk") - q, F.lit(step)), lambda i: F.struct(F.lit(q).alias("q"), F.lit(step).alias("step"), i.alias("i"), F.substring(F.col("chunk"), i + 1, F.lit(q)).alias("gram")))
+        cut = F.transform(F.sequence(F.lit(0), F.length("chunk") - q, F.lit(step)), lambda i: F.struct(F.lit(q).alias("q"), F.lit(step).alias("step"), i.alias("i"), F.substring(F.col("_view"), i + 1, F.lit(q)).alias("gram")))
         return F.when(F.length("chunk") >= q, cut).otherwise(F.array().cast("array<struct<q:int,step:int,i:int,gram:string>>"))
 
     each = [of_kind(q, step) for q, step in kinds]
-    return pieces.select("seq_id", "off", F.explode(F.concat(*each)).alias("g")).select("seq_id", "off", "g.q", "g.step", "g.i", "g.gram")
+    return pieces.withColumn("_view", of).select("seq_id", "off", "chunk", F.explode(F.concat(*each)).alias("g")).select("seq_id", "off", "chunk", "g.q", "g.step", "g.i", "g.gram")
 
 
-def candidates(seqs: DataFrame, distinct: DataFrame, k: int, slack: int, stride: int = STRIDE) -> tuple[DataFrame, DataFrame]:
-    """Places where an exact part stands, as (pid, seq_id, off, p), and the chunks they are in. Not compared yet."""
-    longest = distinct.agg(F.max("m").alias("m")).first()["m"] or 1
-    parts = seeds(distinct, k)
-    kinds = [(r["q"], r["step"]) for r in parts.select("q", "step").distinct().collect()]  # one a kind of SEEDS at most
-    pieces = chunks(seqs, longest + k, stride)
-    if not kinds:
-        kinds = [(1, 1)]
-    found = grams(pieces, kinds).join(parts, ["q", "step", "gram"]).select("pid", "seq_id", "off", (F.col("i") - F.col("at")).alias("p"))
-    return found.where((F.col("p") >= -slack) & (F.col("p") < stride + slack)).distinct(), pieces
+#: Seeds and patterns are broadcast up to this size, estimated from their counted rows and lengths; more are joined by shuffles.
+BROADCAST_BYTES, SEED_BYTES = 64 << 20, 96
+
+
+def candidates(seqs: DataFrame, distinct: DataFrame, parts: DataFrame, low: int, slack: int, overlap: int, stride: int = STRIDE, of: Column | None = None) -> DataFrame:
+    """Places where an exact part stands, with what is to be compared: pid, seq_id, off, p, chunk, pattern, m. A place may come up several times.
+
+    p lies from `low` to stride + slack. Seeds and patterns are broadcast, so that a chunk's grams are looked up and
+    its places compared where the text is read, and only hits move. Beyond BROADCAST_BYTES grams and seeds
+    meet by a shuffle, and places their chunk by another.
+
+    Chunks are as long as the longest pattern at least, so that they hold each symbol twice at most.
+    """
+    size = distinct.agg(F.max("m").alias("longest"), F.sum(F.col("m") + SEED_BYTES).alias("bytes")).first()
+    stride = max(stride, size["longest"] or 1)
+    counted = parts.groupBy("q", "step").count().collect()  # one row a kind of SEEDS at most
+    kinds = [(r["q"], r["step"]) for r in counted] or [(1, 1)]
+    small = sum(r["count"] for r in counted) * SEED_BYTES + (size["bytes"] or 0) <= BROADCAST_BYTES
+    pieces = chunks(seqs, (size["longest"] or 1) + overlap, stride)
+    side = F.broadcast if small else (lambda df: df)
+    cut = grams(pieces, kinds, of)
+    found = (cut if small else cut.drop("chunk")).join(side(parts.select("pid", "q", "step", "gram", "at")), ["q", "step", "gram"])
+    inside = (F.col("p") >= low) & (F.col("p") < stride + slack)
+    if small:
+        places = found.select("pid", "seq_id", "off", (F.col("i") - F.col("at")).alias("p"), "chunk").where(inside)
+    else:
+        places = found.select("pid", "seq_id", "off", (F.col("i") - F.col("at")).alias("p")).where(inside).distinct().join(pieces, ["seq_id", "off"])
+    return places.join(side(distinct.select("pid", "pattern", "m")), "pid").withColumn("stride", F.lit(stride))
 
 
 def _least(hits: DataFrame, own: DataFrame) -> DataFrame:
@@ -83,8 +102,7 @@ def search_hamming(seqs: DataFrame, queries: DataFrame, k: int = 0, stride: int
     """Windows of the pattern's length with at most k unequal symbols; k = 0 is exact search."""
     own = patterns(queries, k)
     distinct = own.select("pid", "pattern", "m").distinct()
-    places, pieces = candidates(seqs, distinct, k, 0, stride)
-    full = places.join(pieces, ["seq_id", "off"]).join(distinct, "pid")
+    full = candidates(seqs, distinct, seeds(distinct, k), 0, 0, k, stride)
     window = F.substring(F.col("chunk"), F.col("p") + 1, F.col("m"))
     full = full.withColumn("w", window).where(F.length("w") == F.col("m"))
     full = full.withColumn("errors", F.when(F.col("w") == F.col("pattern"), F.lit(0)).otherwise(hamming(F.col("w"), F.col("pattern"))) if k else F.when(F.col("w") == F.col("pattern"), F.lit(0)))
@@ -99,9 +117,8 @@ def search_edit(seqs: DataFrame, queries: DataFrame, k: int, ends: str = "MI", s
         return search_hamming(seqs, queries, 0, stride)
     own = patterns(queries, k)
     distinct = own.select("pid", "pattern", "m").distinct()
-    places, pieces = candidates(seqs, distinct, k, k, stride)
-    near = places.select("pid", "seq_id", "off", F.explode(F.sequence(F.col("p") - k, F.col("p") + k)).alias("p")).where((F.col("p") >= 0) & (F.col("p") < stride)).distinct()
-    full = near.join(pieces, ["seq_id", "off"]).join(distinct, "pid")
+    places = candidates(seqs, distinct, seeds(distinct, k), -k, k, k, stride)
+    full = places.withColumn("p", F.explode(F.sequence(F.col("p") - k, F.col("p") + k))).where((F.col("p") >= 0) & (F.col("p") < F.col("stride")))
     # left out before and after: x and z symbols of the pattern
     outs = [(x, z) for x in range(k + 1) for z in range(k + 1 - x)] if "I" in ends else [(0, 0)]
     out = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(z).alias("z")) for x, z in outs])).alias("xz")
@@ -116,16 +133,17 @@ def search_edit(seqs: DataFrame, queries: DataFrame, k: int, ends: str = "MI", s
     tail = lambda c: F.substring(c, -1, 1)
     if "S" not in ends:
         full = full.where(tail(F.col("t")) == tail(F.col("y")))
-        cost = F.levenshtein("t", "y")
+        cost = F.levenshtein("t", "y", k)  # -1 beyond k
     else:
         # both ends are aligned to each other; what is between is free
         one = (F.length("t") == 1) | (F.length("y") == 1)
         inner = lambda c: F.substring(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0)))
         apart = lambda a, b: (a != b).cast("int")
         single = F.when((F.length("t") == 1) & (F.length("y") == 1), apart(F.col("t"), F.col("y")))
-        both = apart(F.substring("t", 1, 1), F.substring("y", 1, 1)) + apart(tail(F.col("t")), tail(F.col("y"))) + F.levenshtein(inner(F.col("t")), inner(F.col("y")))
-        cost = F.when(one, single).otherwise(both)
-    full = full.withColumn("errors", cost + F.col("out")).where(F.col("errors") <= k)
+        both = apart(F.substring("t", 1, 1), F.substring("y", 1, 1)) + apart(tail(F.col("t")), tail(F.col("y"))) + F.col("inner")
+        full = full.withColumn("inner", F.levenshtein(inner(F.col("t")), inner(F.col("y")), k))
+        cost = F.when(one, single).when(F.col("inner") >= 0, both).otherwise(F.lit(-1))
+    full = full.withColumn("cost", cost).where(F.col("cost") >= 0).withColumn("errors", F.col("cost") + F.col("out")).where(F.col("errors") <= k)
     return _least(full.select("pid", "seq_id", (F.col("off") + F.col("p")).alias("pos"), "errors"), own)
 
 
@@ -140,8 +158,9 @@ def search(seqs: DataFrame, queries: DataFrame, errors: int = 0, edit: bool = Tr
 def early_candidates(seqs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """qid, seq_id, pos of every place where a part of the pattern is exact: a superset of the hits' neighbourhoods, not compared."""
     own = patterns(queries, k)
-    places, _ = candidates(seqs, own.select("pid", "pattern", "m").distinct(), k, k)
-    found = places.where((F.col("p") >= 0) & (F.col("p") < STRIDE)).select("pid", "seq_id", (F.col("off") + F.col("p")).alias("pos"))
+    distinct = own.select("pid", "pattern", "m").distinct()
+    places = candidates(seqs, distinct, seeds(distinct, k), 0, 0, k)
+    found = places.select("pid", "seq_id", (F.col("off") + F.col("p")).alias("pos")).distinct()
     return own.select("qid", "pid").join(found, "pid").select("qid", "seq_id", "pos")
 
 
@@ -170,6 +189,14 @@ def not_found(queries: DataFrame, hits: DataFrame) -> DataFrame:
 # --- scoring matrices
 
 
+def symbol_classes(alike: dict[str, list[str]]) -> dict[str, str] | None:
+    """Symbol: the least of its class, for symbols that are of cost 0 with exactly the members of one class; None if they form no classes."""
+    own = {a: {a, *bs} for a, bs in alike.items()}
+    if all(own.get(b, {b}) == members for members in own.values() for b in members):
+        return {a: min(members) for a, members in sorted(own.items()) if len(a) == 1}
+    return None
+
+
 def search_matrix(seqs: DataFrame, queries: DataFrame, costs: dict[tuple[str, str], int], k: int, ambiguous: int | None = None, stride: int = STRIDE) -> DataFrame:
     """Windows of the pattern's length under a cost a symbol pair: (pattern symbol, text symbol) -> cost.
 
@@ -185,18 +212,21 @@ def search_matrix(seqs: DataFrame, queries: DataFrame, costs: dict[tuple[str, st
     for (a, b), c in sorted(costs.items()):
         if c == 0:
             alike.setdefault(a, []).append(b)
-    free = F.create_map(*[x for a, bs in sorted(alike.items()) for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))]) if alike else None
     parts = seeds(distinct, spend)
-    symbols = F.filter(F.split("gram", ""), lambda c: c != "")
-    # a part without cost may still differ from the text: each gram stands for all grams of cost 0
-    choices = lambda c: F.array_union(F.array(c), F.coalesce(F.try_element_at(free, c), F.array().cast("array<string>"))) if free is not None else F.array(c)
-    grown = F.aggregate(symbols, F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(acc, lambda a: F.transform(choices(c), lambda x: F.concat(a, x)))))
-    parts = parts.withColumn("gram", F.explode(grown))
-    kinds = [(r["q"], r["step"]) for r in parts.select("q", "step").distinct().collect()]
-    longest = distinct.agg(F.max("m").alias("m")).first()["m"] or 1
-    pieces = chunks(seqs, longest, stride)
-    places = grams(pieces, kinds or [(1, 1)]).join(parts, ["q", "step", "gram"]).select("pid", "seq_id", "off", (F.col("i") - F.col("at")).alias("p")).where((F.col("p") >= 0) & (F.col("p") < stride)).distinct()
-    full = places.join(pieces, ["seq_id", "off"]).join(distinct, "pid").withColumn("w", F.substring(F.col("chunk"), F.col("p") + 1, F.col("m"))).where(F.length("w") == F.col("m"))
+    classes = symbol_classes(alike)
+    if classes is not None:
+        # a part without cost may still differ from the text: both are compared by their symbols' classes
+        shape = lambda c: F.translate(c, "".join(classes), "".join(classes.values())) if classes else c
+        parts, view = parts.withColumn("gram", shape(F.col("gram"))), shape(F.col("chunk"))
+    else:
+        free = F.create_map(*[x for a, bs in sorted(alike.items()) for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))])
+        symbols = F.filter(F.split("gram", ""), lambda c: c != "")
+        # without classes each gram stands for all grams of cost 0
+        choices = lambda c: F.array_union(F.array(c), F.coalesce(F.try_element_at(free, c), F.array().cast("array<string>")))
+        grown = F.aggregate(symbols, F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(acc, lambda a: F.transform(choices(c), lambda x: F.concat(a, x)))))
+        parts, view = parts.withColumn("gram", F.explode(grown)), None
+    full = candidates(seqs, distinct, parts, 0, 0, 0, stride, view)
+    full = full.withColumn("w", F.substring(F.col("chunk"), F.col("p") + 1, F.col("m"))).where(F.length("w") == F.col("m"))
     listed = F.create_map(*[x for (a, b), c in sorted(costs.items()) for x in (F.lit(a + b), F.lit(c))]) if costs else None
     other = 2 if pair else 1
     cost = lambda a, b: F.coalesce(*([F.try_element_at(listed, F.concat(a, b))] if listed is not None else []), F.when(a == b, F.lit(0)).otherwise(F.lit(other)))

@@ -199,3 +199,30 @@ def test_merge_and_reverse(spark):
     assert twice == {(0, False): "11112222", (0, True): "22221111"}
     with pytest.raises(Exception, match="must have"):
         index.linear_index(both, 7).collect()
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_broadcast_and_shuffled_seeds_find_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", most)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 1500))) for _ in range(12)]
+    asked = ["".join(rng.choice("abc") for _ in range(9)) for _ in range(8)] + [texts[0][3:700], texts[1][:12]]
+    s, q = spark.createDataFrame(list(enumerate(texts)), "seq_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "qid long, pattern string")
+    for k in (0, 1):
+        got = {tuple(r) for r in search.search_hamming(s, q, k).collect()}
+        want = set()
+        for i, p in enumerate(asked):
+            for j, t in enumerate(texts):
+                for at in range(len(t) - len(p) + 1):
+                    if (e := sum(a != b for a, b in zip(p, t[at : at + len(p)], strict=True))) <= k:
+                        want.add((i, j, at, e))
+        assert got == want
+    plan = search.search_hamming(s, q, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == bool(most)
+
+
+def test_symbol_classes():
+    assert search.symbol_classes({}) == {}
+    assert search.symbol_classes({"a": ["e"], "e": ["a"]}) == {"a": "a", "e": "a"}
+    assert search.symbol_classes({"a": ["e"]}) is None
+    assert search.symbol_classes({"n": ["a", "c"], "a": ["n"], "c": ["n"]}) is None
