@@ -9,12 +9,13 @@ A batch of documents gives one sorted array of entries in each block of fingerpr
 arrays form a logarithmic family: a new one is merge-scanned with the last level while that is of
 similar size, geometrically. A scan finds entries of one fingerprint and context; the later ones
 repeat and leave the index. When all batches are in, anchors of several contexts remain undecided:
-their strings agree in part. Those are compared string by string, by two fingerprints of `span`
-bytes: contexts of a block together, or single strings in other blocks where an anchor has very many.
+their strings agree in part. The contexts of such anchors meet in their blocks as bytes: a suffix array of
+them, sorted by `span` bytes, shows the strings that repeat. Where an anchor has very many contexts its
+strings are dealt to other blocks one by one and go through a family by two 64-bit fingerprints.
 
-Entries are ordered by fingerprint, not by byte, since only equal prefixes need to be neighbours. Equal
-strings are recognised by two 64-bit fingerprints with different bases. A block holds a hash range of
-fingerprints; all entries of a batch are sent, repeats inside it included.
+Entries of the family are ordered by fingerprint, not by byte, since only equal prefixes need to be
+neighbours; whole contexts are equal when two 64-bit fingerprints with different bases are. A block holds
+a hash range of fingerprints; all entries of a batch are sent, repeats inside it included.
 """
 
 from __future__ import annotations
@@ -261,14 +262,15 @@ def compared(e: np.ndarray, contexts: list[bytes], span: int) -> Iterator[pa.Rec
         twice[1:] = (e["lo"][own[1:]] == e["lo"][own[:-1]]) & (e["id"][own[1:]] == e["id"][own[:-1]]) & (e["text"][own[1:]] == e["text"][own[:-1]])
         own = own[~twice]
         n = e["n"][own].astype(np.int64)
-        codes = BYTE_CODE[np.frombuffer(b"".join(contexts[k] for k in own), np.uint8)]
+        raw = np.frombuffer(b"".join(contexts[k] for k in own), np.uint8)
         begin = np.cumsum(n + span - 1) - (n + span - 1)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(begin, n) + inside
-        one, two = between(prefix(codes, BASE_A), start, start + span, BASE_A), between(prefix(codes, BASE_B), start, start + span, BASE_B)
-        place = np.lexsort((two, one))  # stable: equal strings stay in the order of their places
+        # a suffix array of the contexts, each suffix by its first `span` bytes; stable, so that equal ones stay in the order of their places
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, span)[start]).view(f"S{span}").reshape(-1)
+        place = np.argsort(suffix, kind="stable")
         later = np.zeros(len(place), bool)
-        later[place[1:]] = (one[place[1:]] == one[place[:-1]]) & (two[place[1:]] == two[place[:-1]])
+        later[place[1:]] = suffix[place[1:]] == suffix[place[:-1]]
         # runs of repeats within a run
         new = later & (np.concatenate([[True], ~later[:-1]]) | (inside == 0))
         if later.any():
@@ -310,7 +312,7 @@ def compare_strings(span: int):
 
 
 def dealt(blobs: DataFrame, blocks: int, task, *columns: str) -> DataFrame:
-    return blobs.repartition(blocks, "block").sortWithinPartitions("block").select("block", *columns).mapInArrow(task, RUNS)
+    return blobs.repartitionById(blocks, "block").sortWithinPartitions("block").select("block", *columns).mapInArrow(task, RUNS)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
