@@ -5,8 +5,9 @@ digest of its payload and its caption. Payloads are stored losslessly as grey-sc
 8-bit samples, 64 to a row, under the SHA-256 of their unpadded bytes, and are read back from that
 store. A join on the digest resolves the references; positions and captions stay with them.
 
-The join moves digests and features, never payloads. Both sides are keyed by digest, one row a digest
-on the store's side, so a digest that many documents share is a skewed join that Spark splits.
+The join moves digests and features, never payloads. References are dealt to SALTS parts of their digest
+and the one row of features that a digest has goes to each of them, so that no task gets all
+references of a digest that many documents share; beyond that it is a skewed join that Spark can split.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from gramwell.llm.store import written
 from gramwell.llm.textbytes import column, sliced
 
 ROW = 64
+#: Parts that the references to a digest are dealt to.
+SALTS = 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PARTS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("kind", "text", "digest", "caption")]]))
 ARROW_PARTS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
@@ -75,13 +78,31 @@ def feature_of(payload: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Ordered parts of a page: runs of text, and pictures with the caption of their figure or their alt."""
+    """Ordered parts of a page: runs of text, and pictures with the caption of their figure or their alt.
+
+    A caption outside a figure, or of one without media, is text. A figure that isn't closed ends with the
+    page or with the next one.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.skip, self.figure, self.caption = 0, None, None
+        self.skip, self.figure, self.caption, self.captioned = 0, None, None, None
+
+    def end_figure(self):
+        """A figure's caption goes to all media in it, before and after; without media it is text."""
+        if self.caption is not None:
+            self.handle_endtag("figcaption")
+        self.flush()
+        if self.figure is not None and self.captioned is not None:
+            media = [part for part in self.parts[self.figure :] if part["kind"] == "media"]
+            for part in media:
+                part["caption"] = self.captioned
+            if not media:
+                self.text = [self.captioned]
+                self.flush()
+        self.figure = self.captioned = None
 
     def flush(self):
         if text := " ".join("".join(self.text).split()):
@@ -97,7 +118,7 @@ class _Sequence(HTMLParser):
             digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
             self.parts.append({"position": 0, "kind": "media", "text": None, "digest": digest, "caption": at.get("alt")})
         elif tag == "figure":
-            self.flush()
+            self.end_figure()
             self.figure = len(self.parts)
         elif tag == "figcaption":
             self.flush()
@@ -110,12 +131,13 @@ class _Sequence(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
             caption, self.caption = " ".join("".join(self.caption).split()), None
-            for part in self.parts[self.figure or 0 :]:
-                if part["kind"] == "media":
-                    part["caption"] = caption
+            if self.figure is not None:
+                self.captioned = caption
+            elif caption:
+                self.text = [caption]
+                self.flush()
         elif tag == "figure":
-            self.flush()
-            self.figure = None
+            self.end_figure()
         elif tag in ("p", "div", "li", "h1", "h2", "h3", "td", "article"):
             self.flush()
 
@@ -128,7 +150,7 @@ def parts_of(html: str) -> list[dict]:
     p = _Sequence()
     p.feed(html)
     p.close()
-    p.flush()
+    p.end_figure()
     return [part | {"position": k} for k, part in enumerate(p.parts)]
 
 
@@ -179,7 +201,7 @@ def read_features(store: DataFrame) -> DataFrame:
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, "media", 4 << 20)):
             rows = []
             for digest, n, media in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("digest", "n_bytes", "media")), strict=True):
                 payload = from_png(media)
@@ -197,7 +219,10 @@ def resolve(sequences: DataFrame, features: DataFrame, keep: tuple[str, ...], pa
     """One row per media reference: columns `keep`, position, caption, and the features of its digest (null if not stored)."""
     refs = sequences.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.filter(parts_column, lambda x: x["kind"] == "media")).alias("_ref"))
     refs = refs.select(*[F.col(f"`{k}`") for k in keep], F.col("_ref.position").alias("position"), F.col("_ref.caption").alias("caption"), F.col("_ref.digest").alias("digest"))
-    return refs.join(features, "digest", "left")
+    # a digest that many documents share is spread over SALTS parts; its one row of features goes to each
+    salted = refs.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    each = features.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return salted.join(each, ["digest", "_salt"], "left").drop("_salt")
 
 
 def document_pages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
