@@ -94,6 +94,16 @@ def test_assign_is_the_plain_search(text):
     assert secret_scans.with_hex(pa.array([text, "f" * 24, None, "g" + "0" * 30])).tolist() == [bool(secret_scans.HEX.search(text)), True, False, True]
 
 
+def test_long_runs_of_token_starts():
+    import time
+
+    began = time.perf_counter()
+    assert secret_scans.find_secrets("eyJ" * 300_000) == []
+    header = "eyJhbGciOiAiSFMyNTYifQ"
+    assert [k for k, _, _ in secret_scans.find_secrets(f"eyJeyJ {header}.abc.def {header}.{header}.abc")] == ["jwt", "jwt"]
+    assert time.perf_counter() - began < 20
+
+
 # --- 3
 
 
@@ -156,7 +166,11 @@ def test_family_levels_grow_geometrically():
         e["id"] = k
         assert not len(family.insert(e))
     assert len(family.levels) <= 7 and all(len(x) > len(y) for x, y in zip(family.levels, family.levels[1:], strict=False))
-    found = len(family.insert(family.levels[0][:5].copy()))
+    copies = family.levels[0][:5].copy()
+    again = copies.copy()
+    copies["id"] += 1_000  # equal strings at other places repeat; rows given twice are one
+    found = len(family.insert(copies))
+    assert not len(family.insert(again))
     index, repeats = family.settle()
     assert found + len(repeats) == 5 and len(index) == 400
 
@@ -230,9 +244,37 @@ def test_interleaved_parts_keep_order_and_captions():
     assert parts[1]["digest"] == "ab" and len(parts[3]["digest"]) == 64
 
 
+def test_captions_stay_with_their_figure():
+    media = lambda html: [(p["digest"], p["caption"]) for p in media_columns.parts_of(html) if p["kind"] == "media"]
+    a, b, c = ("<img src='sha256:%s'>" % x for x in "abc")
+    assert media(f"{a}<figure>{b}<figcaption>two</figcaption></figure><figcaption>loose</figcaption>{c}") == [("a", None), ("b", "two"), ("c", None)]
+    assert media(f"<figure><figcaption>first</figcaption>{a}{b}</figure>{c}") == [("a", "first"), ("b", "first"), ("c", None)]
+    assert media(f"<figure>{a}<figcaption>open") == [("a", "open")]
+    text = [p["text"] for p in media_columns.parts_of("<figcaption>loose</figcaption><figure><figcaption>alone</figcaption></figure>x")]
+    assert text == ["loose", "alone", "x"]
+
+
 # --- 7
 
 
+def test_wrong_labels_do_not_hide_toxic_words():
+    rng = random.Random(16)
+    common = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows = []
+    for k in range(600):
+        words = [rng.choice(common) for _ in range(rng.randint(30, 120))]
+        if k % 3 == 0:
+            for _ in range(4):
+                words.insert(rng.randint(0, len(words)), rng.choice(["grumbo", "vexitor", "snarled", "wretchy"]) + rng.choice(["", "s", "ing"]))
+        rows.append((" ".join(words).encode(), int(k % 3 == 0)))
+    rng.shuffle(rows)
+    model = toxicity.fit([(t, 1 - y if k % 40 == 7 else y) for k, (t, y) in enumerate(rows)])
+    d = model.difference()
+    said = [model.score(sum(d(w) >= model.threshold for w in own), len(own)) >= toxicity.CUT for own in (toxicity.pieces(t) for t, _ in rows)]
+    assert sum(s and y for s, (_, y) in zip(said, rows, strict=True)) >= 180
+    assert sum(s and not y for s, (_, y) in zip(said, rows, strict=True)) <= 12
+
+
 def test_held_out_accuracy():
     rng = random.Random(6)
     common = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
@@ -287,15 +329,7 @@ def test_wrapped_license_templates(spark, width):
 # --- 9
 
 
-def test_components_of_chains_and_copies(spark):
-    rng = random.Random(8)
-    base = [f"w{i}" for i in range(200)]
-    rows, own = [], list(base)
-    for i in range(40):  # each a small change of the one before: ends of the chain are far apart
-        rows.append((1000 - i, " ".join(own)))
-        own[(7 * i) % 200] = f"n{i}"
-    rows += [(2000 + i, rows[3][1]) for i in range(30)]
-    rows += [(3000 + i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 60)))) for i in range(40)]
+def plain_components(rows):
     sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w := t.split()) >= 4 else {tuple(w)} for d, t in rows}
     parent = {d: d for d in sets}
 
@@ -309,8 +343,53 @@ def test_components_of_chains_and_copies(spark):
             if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def test_components_of_chains_and_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows, own = [], list(base)
+    for i in range(40):  # each a small change of the one before: ends of the chain are far apart
+        rows.append((1000 - i, " ".join(own)))
+        own[(7 * i) % 200] = f"n{i}"
+    rows += [(2000 + i, rows[3][1]) for i in range(30)]
+    rows += [(3000 + i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 60)))) for i in range(40)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: (len(s), root(d)) for d, s in sets.items()}
+    assert got == plain_components(rows)
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    patterns = decontamination.Patterns.of([("0", one), ("1", other)])
+    assert decontamination.matches(patterns, pa.array([one, other, one + "a"]))[2] == [{0}, {1}, set()]
+
+
+def test_group_of_many_near_copies_and_a_hot_column(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 50)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    line = "this line stands in nearly every text of all".split()
+    rows = []
+    for i in range(150):  # copies with two or three words changed: some pairs link, some don't
+        own = list(base)
+        for k in rng.sample(range(60), 2 + i % 2):
+            own[k] = f"x{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(own + line)))
+    rows += [(1000 + i, " ".join([*(f"y{rng.randint(0, 10**9)}" for _ in range(i % 5)), *line])) for i in range(150)]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == plain_components(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (3, a), (3, b), (7, b), (None, a), (None, None), (9, ""), (9, "one word"), (8, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(5, 37, 3), (3, 37, 3), (3, 37, 3), (7, 37, 3), (None, 37, None), (None, 0, None), (9, 0, 9), (9, 1, 9), (8, 0, 8)], key=repr)
 
 
 # --- 10
