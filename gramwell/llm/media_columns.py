@@ -5,9 +5,9 @@ digest of its payload and its caption. Payloads are stored losslessly as grey-sc
 8-bit samples, 64 to a row, under the SHA-256 of their unpadded bytes, and are read back from that
 store. A join on the digest resolves the references; positions and captions stay with them.
 
-The join moves digests and features, never payloads. References are dealt to SALTS parts of their digest
-and the one row of features that a digest has goes to each of them, so that no task gets all
-references of a digest that many documents share; beyond that it is a skewed join that Spark can split.
+The join moves digests and features, never payloads. Features are written, one row a digest, before they
+are joined, so that both sides are dealt out for the join alone and Spark can split the references to a
+digest that many documents share.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from gramwell.llm.store import written
 from gramwell.llm.textbytes import column, sliced
 
 ROW = 64
-#: Parts that the references to a digest are dealt to.
-SALTS = 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PARTS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("kind", "text", "digest", "caption")]]))
 ARROW_PARTS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
@@ -212,17 +210,14 @@ def read_features(store: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))
     rows = store.mapInArrow(read, schema)
-    return rows.groupBy("digest").agg(*[F.min(n).alias(n) for n in names[1:]])
+    return written(rows.groupBy("digest").agg(*[F.min(n).alias(n) for n in names[1:]]), "features")
 
 
 def resolve(sequences: DataFrame, features: DataFrame, keep: tuple[str, ...], parts_column: str = "parts") -> DataFrame:
     """One row per media reference: columns `keep`, position, caption, and the features of its digest (null if not stored)."""
     refs = sequences.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.filter(parts_column, lambda x: x["kind"] == "media")).alias("_ref"))
     refs = refs.select(*[F.col(f"`{k}`") for k in keep], F.col("_ref.position").alias("position"), F.col("_ref.caption").alias("caption"), F.col("_ref.digest").alias("digest"))
-    # a digest that many documents share is spread over SALTS parts; its one row of features goes to each
-    salted = refs.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    each = features.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    return salted.join(each, ["digest", "_salt"], "left").drop("_salt")
+    return refs.join(features, "digest", "left")
 
 
 def document_pages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
