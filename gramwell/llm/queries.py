@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, packing, secret_scans, suffix_dedup, token_counts, toxicity, url_filters
+from gramwell.llm import decontamination, jaccard_join, license_scans, media_columns, packing, plain_sql, secret_scans, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_decontamination": plain_sql.OP3_SQL,
+    "op4_suffix_dedup": plain_sql.OP4_SQL,
+    "op9_jaccard_join": plain_sql.OP9_SQL,
     "op8_license_scan": license_scans.OP8_SQL,
     "op10_url_filter": url_filters.OP10_SQL,
 }
