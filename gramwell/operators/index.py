@@ -83,6 +83,16 @@ def mirrored(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id", "text", F.lit(False).alias("is_reverse")).unionByName(seqs.select("seq_id", F.reverse("text").alias("text"), F.lit(True).alias("is_reverse")))
 
 
+def mapped_back(hits: DataFrame, seqs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits in reversed texts (as mirrored() or reversed_texts() give them) at the place where they end in the texts themselves.
+
+    A pattern of length m at pos in a reverse covers pos' .. pos' + m of the text, where pos' = length - pos - m.
+    """
+    sizes = seqs.select("seq_id", F.length("text").alias("_n"))
+    full = hits.join(sizes, "seq_id").join(queries.select("qid", F.length("pattern").alias("_m")), "qid")
+    return full.withColumn("pos", (F.col("_n") - F.col("pos") - F.col("_m")).cast("long")).drop("_n", "_m")
+
+
 def reversed_texts(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("text", F.reverse("text"))
 
@@ -156,6 +166,16 @@ def ranks(rows: DataFrame, symbol: str, block: int = BLOCK) -> DataFrame:
     return all_ranks(rows, [symbol], block).select("idx", F.col("ranks")[0].alias("rank"), F.col("prefix_ranks")[0].alias("prefix_rank"))
 
 
+def dual_ranks(rows: DataFrame, cursors: DataFrame, symbols: list[str], block: int = BLOCK) -> DataFrame:
+    """qid, lo, hi: for each run of rows(idx, sym), the ranks of all symbols before its first row and after its last; empty runs have none."""
+    # the row after the last has the ranks of all rows
+    end = rows.agg((F.max("idx") + 1).alias("idx")).select("idx", F.lit(None).cast("string").alias("sym")).where("idx is not null")
+    table = all_ranks(rows.select("idx", "sym").unionByName(end), symbols, block).select("idx", "ranks")
+    ends = cursors.where("len > 0").select("qid", F.explode(F.array(F.struct(F.lit(False).alias("after"), F.col("lb").alias("idx")), F.struct(F.lit(True).alias("after"), (F.col("lb") + F.col("len")).alias("idx")))).alias("e")).select("qid", "e.after", "e.idx")
+    met = ends.join(table, "idx")
+    return met.groupBy("qid").agg(F.max(F.when(~F.col("after"), F.col("ranks"))).alias("lo"), F.max(F.when(F.col("after"), F.col("ranks"))).alias("hi"))
+
+
 def low_bits(symbol: Column, bits: int) -> Column:
     """A rank's low bits, as a symbol of a smaller alphabet."""
     return symbol.bitwiseAND(F.lit((1 << bits) - 1))
@@ -220,6 +240,18 @@ def clipped(queries: DataFrame, size: int) -> DataFrame:
     return queries.withColumn("pattern", F.substring("pattern", 1, size))
 
 
+def clipped_cursors(cursors: DataFrame, groups: DataFrame) -> DataFrame:
+    """qid, lb, len: each run widened to whole k-mer groups, from its first row's group to its last row's; empty runs stay.
+
+    groups: idx, kmer, is_start of kmer_groups().
+    """
+    runs = groups.groupBy("kmer").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    rows = groups.select("idx", "kmer").join(runs, "kmer")
+    first, last = rows.select(F.col("idx").alias("_at"), "first"), rows.select(F.col("idx").alias("_to"), "last")
+    wide = cursors.join(first, F.when(F.col("len") > 0, F.col("lb")) == F.col("_at"), "left").join(last, F.when(F.col("len") > 0, F.col("lb") + F.col("len") - 1) == F.col("_to"), "left")
+    return wide.select("qid", F.coalesce("first", "lb").alias("lb"), F.coalesce(F.col("last") - F.col("first") + 1, "len").alias("len"))
+
+
 def linear_index(records: DataFrame, length: int) -> DataFrame:
     """idx, seq_id, and a trie over records of one length: prefix, depth, lb, len of every distinct prefix.
 

@@ -163,6 +163,35 @@ def mirrored(spark, d):
     return index.mirrored(_parts(spark, d))
 
 
+def reverse_located(spark, d):
+    """Names found by their reversed patterns in reversed texts, at their places in the texts."""
+    seqs, own = _parts(spark, d), _part_queries(spark, d)
+    hits = search.search_hamming(index.reversed_texts(seqs), own.withColumn("pattern", F.reverse("pattern")), 1)
+    return index.mapped_back(hits, seqs, own).select("qid", "seq_id", "pos", "errors")
+
+
+def mirrored_hits(spark, d):
+    """Hits of two short patterns in texts and in their reverses, each at its place in the text."""
+    seqs, own = _parts(spark, d), spark.createDataFrame([(0, "re"), (1, "dn")], "qid long, pattern string")
+    ahead = search.search_hamming(seqs, own).select("qid", "seq_id", "pos").withColumn("is_reverse", F.lit(False))
+    back = index.mapped_back(search.search_hamming(index.reversed_texts(seqs), own), seqs, own)
+    return ahead.unionByName(back.select("qid", "seq_id", "pos").withColumn("is_reverse", F.lit(True)))
+
+
+def cursors_clipped(spark, d):
+    seqs = _suppliers(spark, d)
+    sa = index.suffix_array(seqs)
+    asked = spark.createDataFrame([(0, "Supplier"), (1, "000"), (2, "x"), (3, "")], "qid long, pattern string")
+    return index.clipped_cursors(index.cursors(sa, seqs, asked), index.kmer_groups(seqs, sa, 2))
+
+
+def dual_ranks(spark, d):
+    seqs = _suppliers(spark, d)
+    sa = index.suffix_array(seqs)
+    asked = spark.createDataFrame([(0, "Supp"), (1, "00"), (2, "x"), (3, "")], "qid long, pattern string")
+    return index.dual_ranks(index.bwt(sa), index.cursors(sa, seqs, asked), ["0", "#", "r"])
+
+
 def merged_index(spark, d):
     nations = spark.read.parquet(f"{d}/nation.parquet")
     regions = corpus.sequences(spark.read.parquet(f"{d}/region.parquet"), "r_regionkey", "r_name")
@@ -265,7 +294,7 @@ def scheme_costs(spark, d):
 QUERIES = {f.__name__: f for f in (
     exact_occurrences, exact_counts, exact_found, exact_not_found, hamming_k1, hamming_k2, edit_k1, edit_k2, edit_k1_ms, edit_k1_msi, search_first, search_best, search_best_first, search_truncated,
     matrix_k1, matrix_ambiguous, transcripts_k1, early_candidates, kmer_rarest, batch_join, symbol_counts, cumulative_counts, suffix_array, suffix_array_sampled, bwt, bwt_two_steps, suffix_array_cyclic,
-    suffix_array_reversed, mirrored, merged_index, rank_table, all_ranks, cursors, located, extend_left, extend_right, extend_two, reconstructed, kmer_groups, kmer_clipped, linear_trie, reverse_complement,
+    suffix_array_reversed, mirrored, mirrored_hits, reverse_located, merged_index, rank_table, all_ranks, dual_ranks, cursors_clipped, cursors, located, extend_left, extend_right, extend_two, reconstructed, kmer_groups, kmer_clipped, linear_trie, reverse_complement,
     alphabet, delimiter_run, bit_functions, scheme_costs,
 )}
 
@@ -378,6 +407,10 @@ e AS (SELECT qid, a.kmer, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (kmer)),
         "suffix_array_cyclic": f"WITH s AS ({_NATION}), x AS (SELECT seq_id, txt, i, substring(txt || txt, i + 1, length(txt)) AS rot FROM (SELECT seq_id, txt, unnest(range(0, length(txt))) AS i FROM s)) SELECT row_number() OVER (ORDER BY rot, seq_id, i) - 1 AS idx, seq_id, i::BIGINT AS pos, rot[1] AS sym, rot[-1] AS prev FROM x",
         "suffix_array_reversed": _with(_sa_sql(_NATION, "reverse(txt)"), "SELECT idx, seq_id, pos, sym, prev FROM sa"),
         "mirrored": "SELECT p_partkey::BIGINT AS seq_id, p_name AS text, false AS is_reverse FROM part UNION ALL SELECT p_partkey, reverse(p_name), true FROM part",
+        "mirrored_hits": "SELECT qid::BIGINT AS qid, p_partkey::BIGINT AS seq_id, i::BIGINT AS pos, is_reverse FROM (SELECT *, unnest(range(0, length(p_name))) AS i FROM part, (VALUES (0, 're', false), (1, 'dn', false), (0, 'er', true), (1, 'nd', true)) AS a(qid, pat, is_reverse)) WHERE substring(p_name, i + 1, 2) = pat",
+        "reverse_located": _with(_hamming_sql(1)),
+        "cursors_clipped": _with(_sa_sql(_SUPPLIER) + ", a(qid, pat) AS (VALUES (0, 'Supplier'), (1, '000'), (2, 'x'), (3, '')), k AS (SELECT idx, pos, txt, substring(txt, pos + 1, 2) AS kmer FROM sa), g AS (SELECT kmer, min(idx) AS first, max(idx) AS last FROM k GROUP BY kmer)", "SELECT qid::BIGINT AS qid, min(first) AS lb, coalesce(max(last) - min(first) + 1, 0)::BIGINT AS len FROM a LEFT JOIN (k JOIN g USING (kmer)) ON substring(txt, pos + 1, length(pat)) = pat GROUP BY qid"),
+        "dual_ranks": _with(_sa_sql(_SUPPLIER) + ", a(qid, pat) AS (VALUES (0, 'Supp'), (1, '00'), (2, 'x'), (3, '')), c AS (SELECT qid, min(idx) AS lo, max(idx) AS hi FROM a JOIN sa ON substring(txt, pos + 1, length(pat)) = pat GROUP BY qid)", "SELECT qid::BIGINT AS qid, [count_if(prev = '0' AND idx < lo), count_if(prev = '#' AND idx < lo), count_if(prev = 'r' AND idx < lo)]::BIGINT[] AS lo, [count_if(prev = '0' AND idx <= hi), count_if(prev = '#' AND idx <= hi), count_if(prev = 'r' AND idx <= hi)]::BIGINT[] AS hi FROM c, sa GROUP BY qid"),
         "merged_index": _with(_sa_sql(_NATION + " UNION ALL SELECT r_regionkey + 1 + (SELECT max(n_nationkey) FROM nation), r_name FROM region"), "SELECT idx, seq_id, pos, sym, prev FROM sa"),
         "rank_table": _with(_sa_sql(_NATION), f"SELECT idx, {ranks_n[0]} AS rank, {ranks_n[1]} AS prefix_rank FROM sa"),
         "all_ranks": _with(_sa_sql(_NATION), f"SELECT idx, [{', '.join(r[0] for r in three)}] AS ranks, [{', '.join(r[1] for r in three)}] AS prefix_ranks FROM sa"),
