@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from functools import cached_property
+
+from gramwell.llm.workers import remembered
 
 #: A space before white space or the end: texts with one are not cut at spaces.
 _LOOSE = re.compile(r" (?:\s|\Z)")
@@ -29,13 +32,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 65_536:
-            raise ValueError("ids of this vocabulary don't fit 16 bits")
-        self.rank = None
+        self.vocabulary, self.rank = vocabulary, None
         if vocabulary.endswith("byte_bpe_50k.json"):
             # the same vocabulary and pattern for a faster library
             import base64
@@ -47,6 +44,17 @@ class Encoder(dict):
             lines = Path(vocabulary).with_suffix(".tiktoken").read_bytes().splitlines()
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.rank = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        elif self.tokenizer.get_vocab_size() > 65_536:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer of the file, which the faster library does without."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.vocabulary)
+        out.encode_special_tokens = True
+        return out
 
     def ids(self, text: str) -> list[int]:
         if self.rank is not None:
@@ -79,10 +87,6 @@ class Encoder(dict):
         return self.pack(first) + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    """This worker's encoder, until an operator that needs none begins here."""
+    return remembered(("encoder", vocabulary), lambda: Encoder(vocabulary))

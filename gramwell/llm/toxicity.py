@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramwell.llm.textbytes import column, sliced
+from gramwell.llm.workers import lean
 
 PIECE = re.compile(rb"[0-9a-z\x80-\xff]{1,48}")
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT_BYTES, SEED = 100_000, 8_192, 64, 7
@@ -275,7 +276,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), text_
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(bad, pa.int64()), pa.array(score, pa.float64())], [*[f.name for f in fields], "n_windows", "n_toxic", "score"])
 
     schema = T.StructType([*fields, T.StructField("n_windows", T.LongType()), T.StructField("n_toxic", T.LongType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_column).alias("_text")).mapInArrow(score, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_column).alias("_text")).mapInArrow(lean(score), schema)
 
 
 def fold(doc_id):
