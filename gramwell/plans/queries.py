@@ -108,8 +108,7 @@ def matrix_ambiguous(spark, d):
 
 
 def transcripts_k1(spark, d):
-    seqs, own = _parts(spark, d), _part_queries(spark, d)
-    return search.with_transcripts(search.search_edit(seqs, own, 1, "MS"), seqs, own, 1)
+    return search.search_transcripts(_parts(spark, d), _part_queries(spark, d), 1)
 
 
 def early_candidates(spark, d):

@@ -43,3 +43,18 @@ def test_equal_texts_are_searched_once(spark, monkeypatch, tables, most):
     got = [tuple(r) for r in search.search_hamming(*tables, 1).collect()]
     assert seen == [len(NAMES) + 1]  # and the empty text
     assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_hamming(s, q, 1), ["pos", "errors"])
+
+
+def test_equal_texts_are_aligned_once(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "with_transcripts")
+    got = [tuple(r) for r in search.search_transcripts(*tables, 1).collect()]
+    assert len(seen) == 1 and seen[0] <= len(NAMES) * len(set(ASKED))
+    plain = lambda s, q: search.with_transcripts(search.search_edit(s, q, 1, "MS"), s, q, 1)
+    assert len(got) == len(set(got)) and set(got) == alone(spark, plain, ["pos", "errors", "transcript"])
+
+
+def best_of(rows):
+    least = {}
+    for q, _, _, e in rows:
+        least[q] = min(least.get(q, e), e)
+    return {r for r in rows if r[3] == least[r[0]]}
