@@ -58,3 +58,10 @@ def best_of(rows):
     for q, _, _, e in rows:
         least[q] = min(least.get(q, e), e)
     return {r for r in rows if r[3] == least[r[0]]}
+
+
+def test_best_hits_are_chosen_among_distinct_texts(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "best_hits")
+    got = [tuple(r) for r in search.search(*tables, 2, best=True).collect()]
+    assert len(seen) == 1 and seen[0] <= len(NAMES) * len(set(ASKED)) * 3
+    assert len(got) == len(set(got)) and set(got) == best_of(alone(spark, lambda s, q: search.search_edit(s, q, 2), ["pos", "errors"]))
