@@ -65,3 +65,14 @@ def test_best_hits_are_chosen_among_distinct_texts(spark, monkeypatch, tables):
     got = [tuple(r) for r in search.search(*tables, 2, best=True).collect()]
     assert len(seen) == 1 and seen[0] <= len(NAMES) * len(set(ASKED)) * 3
     assert len(got) == len(set(got)) and set(got) == best_of(alone(spark, lambda s, q: search.search_edit(s, q, 2), ["pos", "errors"]))
+
+
+def test_common_kmers_fill_no_single_task(spark):
+    texts, asked = list(enumerate(["abcd"] * 40 + ["xabcabcd"])), [(i, p) for i, p in enumerate(["abcd", "abcd", "cabc", "zz", "abcz", None])]
+    for rows in (texts, [(i, f"{t}{i:05}") for i, t in texts]):  # with and without repeated texts
+        s, q = spark.createDataFrame(rows, "seq_id long, text string"), spark.createDataFrame(asked, "qid long, pattern string")
+        df = search.search_kmers(s, q, 3)
+        where = {k: sorted((i, p) for i, t in rows for p in range(len(t) - 2) if t[p : p + 3] == k) for k in ("abc", "bcd", "cab")}
+        rare = {0: "bcd", 1: "bcd", 2: "cab"}
+        assert sorted(tuple(r) for r in df.collect()) == sorted((i, k, *x) for i, k in rare.items() for x in where[k])
+        assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString().split("Generate")[0]
