@@ -76,3 +76,17 @@ def test_common_kmers_fill_no_single_task(spark):
         rare = {0: "bcd", 1: "bcd", 2: "cab"}
         assert sorted(tuple(r) for r in df.collect()) == sorted((i, k, *x) for i, k in rare.items() for x in where[k])
         assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString().split("Generate")[0]
+
+
+def test_candidates_of_equal_texts(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "candidates")
+    got = [tuple(r) for r in search.early_candidates(*tables, 1).collect()]
+    assert seen == [len(NAMES) + 1]
+    assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.early_candidates(s, q, 1), ["pos"])
+
+
+def first_of(rows, n):
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        by.setdefault(r[0], []).append(r)
+    return {r for rs in by.values() for r in rs[:n]}
