@@ -90,3 +90,11 @@ def first_of(rows, n):
     for r in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
         by.setdefault(r[0], []).append(r)
     return {r for rs in by.values() for r in rs[:n]}
+
+
+def test_first_of_the_best_are_taken_for_each_pattern(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "first_hits")
+    got = {tuple(r) for r in search.search(*tables, 1, n=2, best=True).collect()}
+    every = best_of(alone(spark, lambda s, q: search.search_edit(s, q, 1), ["pos", "errors"]))
+    assert got == first_of(every, 2)
+    assert seen == [len(every) * len(set(ASKED)) // len(QUERIES)]
