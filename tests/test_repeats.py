@@ -98,3 +98,11 @@ def test_first_of_the_best_are_taken_for_each_pattern(spark, monkeypatch, tables
     every = best_of(alone(spark, lambda s, q: search.search_edit(s, q, 1), ["pos", "errors"]))
     assert got == first_of(every, 2)
     assert seen == [len(every) * len(set(ASKED)) // len(QUERIES)]
+
+
+def test_first_hits_are_taken_for_each_pattern(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "first_hits")
+    got = {tuple(r) for r in search.search(*tables, 1, n=3).collect()}
+    every = alone(spark, lambda s, q: search.search_edit(s, q, 1), ["pos", "errors"])
+    assert got == first_of(every, 3)
+    assert seen == [len(every) * len(set(ASKED)) // len(QUERIES)]
