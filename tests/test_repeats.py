@@ -106,3 +106,10 @@ def test_first_hits_are_taken_for_each_pattern(spark, monkeypatch, tables):
     every = alone(spark, lambda s, q: search.search_edit(s, q, 1), ["pos", "errors"])
     assert got == first_of(every, 3)
     assert seen == [len(every) * len(set(ASKED)) // len(QUERIES)]
+
+
+def test_two_edits_of_equal_texts(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "candidates")
+    got = [tuple(r) for r in search.search_edit(*tables, 2).collect()]
+    assert seen == [len(NAMES) + 1]
+    assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_edit(s, q, 2), ["pos", "errors"])
