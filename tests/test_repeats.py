@@ -113,3 +113,10 @@ def test_two_edits_of_equal_texts(spark, monkeypatch, tables):
     got = [tuple(r) for r in search.search_edit(*tables, 2).collect()]
     assert seen == [len(NAMES) + 1]
     assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_edit(s, q, 2), ["pos", "errors"])
+
+
+def test_inserted_ends_of_equal_texts(spark, monkeypatch, tables):
+    seen = spied(monkeypatch, "candidates")
+    got = [tuple(r) for r in search.search_edit(*tables, 1, "MSI").collect()]
+    assert seen == [len(NAMES) + 1]
+    assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_edit(s, q, 1, "MSI"), ["pos", "errors"])
