@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gramwell.operators.corpus import positions
+from gramwell.operators import search
+from gramwell.operators.corpus import distinct_texts, positions
 
 DELIMITER = ""
 BLOCK = 1 << 16
@@ -93,6 +94,17 @@ def mapped_back(hits: DataFrame, seqs: DataFrame, queries: DataFrame) -> DataFra
     return full.withColumn("pos", (F.col("_n") - F.col("pos") - F.col("_m")).cast("long")).drop("_n", "_m")
 
 
+def search_reversed(seqs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """search_hamming by reversed patterns in reversed texts, each hit mapped back to its place in the text."""
+
+    def find(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+        hits = search.hamming_hits(reversed_texts(texts), distinct.withColumn("pattern", F.reverse("pattern")), k).withColumnRenamed("pid", "qid")
+        back = mapped_back(hits, texts, distinct.select(F.col("pid").alias("qid"), "pattern"))
+        return back.select(F.col("qid").alias("pid"), "seq_id", "pos", "errors")
+
+    return search.once(seqs, queries, k, find)
+
+
 def reversed_texts(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("text", F.reverse("text"))
 
@@ -207,10 +219,24 @@ def locate(sa: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def extend(seqs: DataFrame, hits: DataFrame, queries: DataFrame, left: bool) -> DataFrame:
-    """qid, sym, count: what stands before (left) or after each hit, the delimiter at a text's ends included."""
+    """qid, sym, count: what stands before (left) or after each hit, the delimiter at a text's ends included.
+
+    A text of distinct_texts() counts n times.
+    """
     full = hits.join(queries, "qid").join(seqs, "seq_id")
     sym = F.when(F.col("pos") > 0, F.substring(F.col("text"), F.col("pos").cast("int"), F.lit(1))).otherwise(F.lit(DELIMITER)) if left else F.substring(F.col("text"), (F.col("pos") + F.length("pattern") + 1).cast("int"), F.lit(1))
-    return full.select("qid", sym.alias("sym")).groupBy("qid", "sym").agg(F.count("*").alias("count"))
+    copies = F.col("n") if "n" in seqs.columns else F.lit(1).cast("long")
+    return full.select("qid", sym.alias("sym"), copies.alias("n")).groupBy("qid", "sym").agg(F.sum("n").alias("count"))
+
+
+def extensions(seqs: DataFrame, queries: DataFrame, left: bool) -> DataFrame:
+    """qid, sym, count: extend() of all exact hits, which are found and counted once for equal patterns and, where short texts repeat, equal texts."""
+    own = search.patterns(queries, 0)
+    distinct = own.select("pid", "pattern", "m").distinct()
+    texts = distinct_texts(seqs)[0]
+    hits = search.hamming_hits(texts.select("seq_id", "text"), distinct, 0).withColumnRenamed("pid", "qid")
+    each = extend(texts, hits, distinct.select(F.col("pid").alias("qid"), "pattern"), left)
+    return search.to_queries(each.withColumnRenamed("qid", "pid"), own, own.count()).select("qid", "sym", "count")
 
 
 def extend_by(seqs: DataFrame, hits: DataFrame, queries: DataFrame, symbols: str, left: bool) -> DataFrame:

@@ -164,9 +164,7 @@ def mirrored(spark, d):
 
 def reverse_located(spark, d):
     """Names found by their reversed patterns in reversed texts, at their places in the texts."""
-    seqs, own = _parts(spark, d), _part_queries(spark, d)
-    hits = search.search_hamming(index.reversed_texts(seqs), own.withColumn("pattern", F.reverse("pattern")), 1)
-    return index.mapped_back(hits, seqs, own).select("qid", "seq_id", "pos", "errors")
+    return index.search_reversed(_parts(spark, d), _part_queries(spark, d), 1)
 
 
 def mirrored_hits(spark, d):
@@ -219,15 +217,13 @@ def located(spark, d):
 
 
 def extend_left(spark, d):
-    seqs, own = _parts(spark, d), _part_queries(spark, d)
-    short = own.withColumn("pattern", F.substring("pattern", 5, 2))
-    return index.extend(seqs, search.search_hamming(seqs, short), short, True)
+    short = _part_queries(spark, d).withColumn("pattern", F.substring("pattern", 5, 2))
+    return index.extensions(_parts(spark, d), short, True)
 
 
 def extend_right(spark, d):
-    seqs, own = _parts(spark, d), _part_queries(spark, d)
-    short = own.withColumn("pattern", F.substring("pattern", 1, 2))
-    return index.extend(seqs, search.search_hamming(seqs, short), short, False)
+    short = _part_queries(spark, d).withColumn("pattern", F.substring("pattern", 1, 2))
+    return index.extensions(_parts(spark, d), short, False)
 
 
 def extend_two(spark, d):

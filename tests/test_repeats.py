@@ -1,7 +1,7 @@
 """Work on repeated texts and patterns grows with the distinct ones."""
 
 import pytest
-from gramwell.operators import corpus, search
+from gramwell.operators import corpus, index, search
 
 NAMES = ["red bolt", "red boat", "new ring", "cold gear", "old gear", "small plate", "bolt"]
 ASKED = ["red bolt", "old gear", "new rind"]
@@ -120,3 +120,16 @@ def test_inserted_ends_of_equal_texts(spark, monkeypatch, tables):
     got = [tuple(r) for r in search.search_edit(*tables, 1, "MSI").collect()]
     assert seen == [len(NAMES) + 1]
     assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_edit(s, q, 1, "MSI"), ["pos", "errors"])
+
+
+@pytest.mark.parametrize("left", [True, False])
+def test_extensions_are_counted_for_distinct_texts(spark, monkeypatch, left):
+    s = spark.createDataFrame([(i, t) for i, t in TEXTS if i < 92], "seq_id long, text string")
+    q = spark.createDataFrame([(i, p) for i, p in enumerate(["ol", "ar", "ol", "re", "ar", "zz", ""])], "qid long, pattern string")
+    want = sorted(map(tuple, index.extend(s, search.search(s, q), q, left).collect()))
+    seen = spied(monkeypatch, "extend", index)
+    df = index.extensions(s, q, left)
+    assert sorted(map(tuple, df.collect())) == want and df.dtypes == [("qid", "bigint"), ("sym", "string"), ("count", "bigint")]
+    assert seen == [len(NAMES) + 1]
+    back = index.search_reversed(s, q.where("pattern <> ''"), 0)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in search.search(s, q).collect()}
