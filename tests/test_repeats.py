@@ -1,7 +1,10 @@
 """Work on repeated texts and patterns grows with the distinct ones."""
 
+import random
+
 import pytest
 from gramwell.operators import corpus, index, search
+from pyspark.sql import functions as F
 
 NAMES = ["red bolt", "red boat", "new ring", "cold gear", "old gear", "small plate", "bolt"]
 ASKED = ["red bolt", "old gear", "new rind"]
@@ -115,6 +118,18 @@ def test_two_edits_of_equal_texts(spark, monkeypatch, tables):
     assert len(got) == len(set(got)) and set(got) == alone(spark, lambda s, q: search.search_edit(s, q, 2), ["pos", "errors"])
 
 
+def test_rows_of_one_pattern_lie_together(spark):
+    rng = random.Random(9)
+    s = spark.createDataFrame([(i, rng.choice(NAMES)) for i in range(600)], "seq_id long, text string")
+    q = index.clipped(spark.createDataFrame([(i, rng.choice(NAMES)) for i in range(60)], "qid long, pattern string"), 3)
+    rows = search.search_hamming(s, q).withColumn("part", F.spark_partition_id()).collect()
+    kept = {r["qid"]: r["pattern"] for r in q.collect()}
+    texts = {r["seq_id"]: r["text"] for r in s.collect()}
+    assert {tuple(r)[:3] for r in rows} == {(i, j, p) for i, x in kept.items() for j, t in texts.items() for p in range(len(t)) if t.startswith(x, p)}
+    runs = sum(a["part"] != b["part"] or kept[a["qid"]] != kept[b["qid"]] for a, b in zip(rows, rows[1:], strict=False)) + 1
+    assert runs <= len({r["part"] for r in rows}) * len(set(kept.values()))
+
+
 def test_inserted_ends_of_equal_texts(spark, monkeypatch, tables):
     seen = spied(monkeypatch, "candidates")
     got = [tuple(r) for r in search.search_edit(*tables, 1, "MSI").collect()]
